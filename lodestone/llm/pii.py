@@ -79,7 +79,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[tuple[int, ...
         part = [int(x) for x in span.split(".")]
         shape = 1 if all(str(p) == x for p, x in zip(part, span.split("."))) else -1
         checks = 1 if max(part) < 256 else -1
-        gaz = -1 if part[0] in (0, 127, 255) or part[0] >= 224 or span in ("1.0.0.0", "1.1.1.1", "8.8.8.8") else 1 if part[0] > 9 else 0
+        gaz = -1 if part[0] in (0, 127, 255) or part[0] >= 224 or max(part) < 20 or span == "8.8.8.8" else 1 if part[0] > 9 else 0
     elif kind == "SSN":
         shape = 1
         checks = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
@@ -133,7 +133,7 @@ def estimate(vote: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.
     holds labelers to be right more often than not keeps the classes from trading places."""
     j = vote.shape[1]
     prior = np.zeros((j, 3, 2))
-    prior[:, 0] = (4, 1)  # votes -1 for class 0, 1
+    prior[:, 0] = (8, 1)  # votes -1 for class 0, 1: labelers speak against a span with more reason than for it
     prior[:, 1] = (3, 3)
     prior[:, 2] = (1, 4)
     prior *= max(1.0, 0.02 * count.sum())

@@ -6,7 +6,8 @@ condition of most information gain on two thirds of the rows still uncovered, un
 no condition helps; it is pruned from its end on the other third; it joins the list if its precision there is at
 least `precision`; the rows it covers leave. The list becomes one ordered conditional expression in Spark.
 
-Defined results: a null or empty text has statistics of 0 and lines 0. Rows without a label, or with a null one,
+Defined results: a null or empty text has statistics of 0; its decision is
+that of the rules for them. Rows without a label, or with a null one,
 are not learned from; without labelled rows of both classes the list is empty and every document stays. Among
 equal conditions the first by name, then the lowest threshold, is taken. An id with several labels counts as low
 quality if any of them says so. Every row of docs gives one row.

@@ -1,0 +1,418 @@
+"""Each operator against brute force, round trips or held-out accuracy, and on awkward rows: nulls, empty and long
+texts, repeated rows, empty tables, clashing columns."""
+
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lodestone.llm import bpe, chat, decontaminate, language, licenses, near, perplexity, pii, rules, sharding
+from lodestone.llm.queries import VOCABULARY
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, shard string, rule string"
+WORDS = [a + b + c for a in ("ka", "lo", "mi", "ter", "shu", "ban") for b in ("ra", "ne", "tol", "vi", "gos") for c in ("", "n", "sk", "ma")]
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return [rng.choice(WORDS) for _ in range(n)]
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(k, t, "xx", "s", len(t or ""), "z", "q", "r") for k, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    out = [" ".join(words(60 + k % 40, k)) for k in range(60)]
+    rng = random.Random(5)
+    for k in range(12):  # near copies
+        w = out[k].split()
+        for _ in range(3):
+            w[rng.randrange(len(w))] = "changed"
+        out.append(" ".join(w))
+    out += [out[3], out[3], "", None, "!!! ???", "!!! ???", "one", "ONE", " ".join(words(30_000, 99))]
+    return out
+
+
+def tokens(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+
+def shingles(text, n):
+    w = tokens(text)
+    if not w:
+        return {text} if text else set()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
+
+
+def test_containment_is_that_of_brute_force(spark, texts):
+    items = [(0, " ".join(texts[1].split()[5:40])), (1, " ".join(words(30, 1234))), (2, None), (3, ""), (4, "one"), (5, " ".join(texts[-1].split()[20_000:20_050])), (5, " ".join(texts[-1].split()[20_000:20_050])), (6, " ".join(texts[2].split()[:20] + words(3, 8)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.contaminated(table(spark, texts), bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, s in items:
+            w = tokens(s)
+            if w:
+                n = min(5, len(w))
+                own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+                v = tokens(t)
+                share = len(own & {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}) / len(own)
+                if share >= 0.6:
+                    want[d, i] = share
+    assert got == pytest.approx(want) and len(want) > 4
+    kept = decontaminate.decontaminated(table(spark, texts), bench)
+    assert kept.columns == table(spark, texts).columns
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_containment_of_nothing(spark, texts):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(table(spark, texts), none).count() == 0
+    assert decontaminate.contaminated(table(spark, []), none).count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark, texts):
+    got = {r.doc_id: r.kept_id for r in near.duplicates(table(spark, texts)).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    sure, never = 0, 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b]:
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if j >= 0.65:
+                sure += 1
+                assert got.get(a, a) == got.get(b, b)
+            elif j < 0.3:
+                never += got.get(a, a) == got.get(b, b)
+    assert sure > 12 and never == 0
+    empty = {k for k, t in enumerate(texts) if not t}
+    assert not empty & (set(got) | set(got.values()))
+    kept = near.deduplicated(table(spark, texts))
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - set(got)
+    assert near.duplicates(table(spark, [])).count() == 0
+
+
+def test_large_nodes_branch_and_peel():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 60_000, (600, 128)).astype(np.uint16)
+    for g in range(20):  # groups of copies that share 80 % of components
+        for k in range(1, 5):
+            sig[g * 5 + k] = np.where(rng.random(128) < 0.8, sig[g * 5], sig[g * 5 + k])
+    sig[:, :30] = 7  # and a passage that all share
+    edges = []
+    near._grow(sig, np.arange(600), 1, 70, 32, 12, 1 / 64, edges)
+    root = list(range(600))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        assert (sig[a] == sig[b]).sum() >= 70
+        root[find(a)] = find(b)
+    pairs = [(a, b) for a, b in itertools.combinations(range(100), 2) if (sig[a] == sig[b]).sum() >= 70]
+    assert pairs and sum(find(a) == find(b) for a, b in pairs) >= 0.6 * len(pairs)  # one tree of several
+    copies = np.repeat(sig[:1], 500, axis=0)
+    edges = []
+    near._grow(copies, np.arange(500), 1, 128, 32, 12, 1 / 64, edges)
+    assert len({x for e in edges for x in e}) == 500
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
+    got = {r.node: r.root for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(50):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {k: v for k, v in root.items() if k != v}
+
+
+def test_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where("doc_id % 2 = 0"))
+    got = language.identify(docs.where("doc_id % 2 = 1"), model, keep=["doc_id", "lang"]).collect()
+    assert np.mean([r.lang == r.lang_found for r in got]) > 0.97
+    a, b = (next(r.text for r in docs.where(f"lang = '{x}' and n_chars > 900").collect())[:800] for x in ("de", "en"))
+    mixed = [a + "\n" + b, None, "", "123 456", "шшжщ ъыъ эюя", "漢字かな", b, "??"]
+    rows = language.identify(table(spark, mixed), model).orderBy("doc_id").collect()
+    assert {s.lang for s in rows[0].spans} >= {"de", "en"} and len(rows[0].spans) <= 6
+    assert [r.rejected for r in rows] == [False, True, True, False, True, True, False, True] or rows[3].lang_found is not None
+    assert rows[1].lang_found is None and rows[4].lang_found == "und" and rows[6].lang_found == "en"
+    assert language.identified(table(spark, mixed), model=model).columns == table(spark, mixed).columns
+    assert language.identify(table(spark, []), model).count() == 0
+    nothing = language.fit(table(spark, []))
+    assert nothing.langs == []
+
+
+def test_fast_labels_are_those_of_viterbi():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        size = rng.integers(0, 12, 5)
+        first = np.concatenate([[0], np.cumsum(size)])
+        score = rng.normal(0, 3, (first[-1], 3)) + rng.choice([0, 4], 3)
+        got = language.labels(score, first, 5.0)
+        for d in range(5):
+            own, label = score[first[d] : first[d + 1]], got[first[d] : first[d + 1]]
+            if len(own):
+                value = lambda p: sum(own[i, s] for i, s in enumerate(p)) - 5.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+                best = max(map(value, itertools.product(range(3), repeat=len(own)))) if len(own) < 8 else None
+                if best is not None:
+                    assert value(label) == pytest.approx(best)
+
+
+def test_private_spans(spark):
+    pieces = {"EMAIL": "jo.doe@mail3.example.com", "IP": "83.12.55.201", "CARD": "4539578763621486", "PHONE": "(212) 555-0199", "SECRET": 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"'}
+    texts = [" ".join(words(20, k)) for k in range(30)]
+    for k, v in enumerate(pieces.values()):
+        for r in range(4):
+            texts.append(f"{texts[k]} {v} {texts[r]}")
+    texts += [None, "", *(f"see section 3.1.4.{k} of version 2" for k in range(8)), "x@y", "word " * 20_000 + pieces["EMAIL"]]
+    docs = table(spark, texts)
+    model = pii.fit(docs)
+    got = {r.doc_id: r for r in pii.spans(docs, model).collect()}
+    assert set(got) == {*range(30, 50), len(texts) - 1}
+    for k, (kind, v) in enumerate(pieces.items()):
+        r = got[30 + 4 * k]
+        assert [s.kind for s in r.spans] == [kind] and v not in r.text
+        assert texts[30 + 4 * k][r.spans[0].start : r.spans[0].end] in v or v in texts[30 + 4 * k][r.spans[0].start : r.spans[0].end]
+    clean = pii.redacted(docs, model)
+    assert clean.columns == docs.columns and clean.count() == len(texts)
+    assert {r.doc_id for r in clean.collect() if r.text != texts[r.doc_id]} == set(got)
+    assert pii.spans(table(spark, []), pii.fit(table(spark, []))).count() == 0
+
+
+def test_reliabilities_are_recovered():
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.6
+    right = np.array([0.95, 0.85, 0.8, 0.6, 0.9])
+    vote = np.where(rng.random((4000, 5)) < right, np.where(y, 1, -1)[:, None], np.where(y, -1, 1)[:, None])
+    keys = Counter((tuple(v), t) for v, t in zip(vote.tolist(), y))
+    pattern = sorted({k for k, _ in keys})
+    count = np.array([sum(keys[p, t] for t in (True, False)) for p in pattern], float)
+    post, rate = pii.estimate(np.array(pattern), count)
+    wrong = sum(keys[p, t] for p, q in zip(pattern, post) for t in (True, False) if t != (q > 0.5))
+    assert wrong / 4000 < 0.06
+    assert rate[0, 2, 1] > rate[3, 2, 1]
+
+
+def test_decision_list(spark):
+    rng = random.Random(6)
+    good = [" ".join(words(rng.randint(20, 80), k)) for k in range(150)]
+    bad = [" ".join(w + rng.choice(["%%%", "$$$"]) for w in words(50, k)) for k in range(60)] + [("spam " * 60) for _ in range(60)]
+    texts = [*good, *bad, None, ""]
+    labels = spark.createDataFrame([(k, int(k < 150), 0) for k in range(270)] + [(None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in rules.decided(table(spark, texts), labels).collect()}
+    assert len(got) == len(texts) and got[270].n_words == got[271].n_words == 0
+    assert sum(got[k].keep for k in range(150)) >= 148 and sum(not got[k].keep for k in range(150, 270)) >= 110
+    none = rules.decided(table(spark, texts), labels.limit(0))
+    assert none.where("not keep").count() == 0
+    assert rules.decided(table(spark, []), labels).count() == 0
+
+
+def test_statistics_are_those_of_plain_counts():
+    texts = ["Ab ab, CD 12!\nline\nline", "", "x|y|z", "no\n\nno\n"]
+    got = rules.statistics(pa.array(texts, pa.large_string()))
+    for row, t in zip(got, texts):
+        s = dict(zip(rules.STATS, row))
+        w, lines = tokens(t), [x for x in t.split("\n") if x]
+        assert s["n_words"] == len(w) and s["n_lines"] == len(lines)
+        assert s["word_variety"] == pytest.approx(len(set(w)) / max(len(w), 1), abs=1e-6)
+        assert s["line_repeat"] == pytest.approx(1 - len(set(lines)) / len(lines) if lines else 0, abs=1e-6)
+        assert s["repeat_next"] == pytest.approx(sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1), abs=1e-6)
+        assert s["caps_share"] == pytest.approx(sum(c.isupper() for c in t) / max(len(t), 1), abs=1e-6)
+
+
+def kneser_ney(texts, order):
+    """The probabilities of all texts, counted plainly."""
+    count = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        w = tokens(t)
+        if w:
+            w = ["<s>"] * (order - 1) + w + ["</s>"]
+            count[order].update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+    for k in range(order - 1, 0, -1):
+        count[k].update(g[1:] for g in count[k + 1])
+    d = {k: perplexity.discounts([sum(c == i for c in count[k].values()) for i in range(1, 5)]) for k in range(1, order + 1)}
+    by = {k: defaultdict(list) for k in range(2, order + 1)}
+    for k in by:
+        for g, c in count[k].items():
+            by[k][g[:-1]].append(c)
+
+    def p(g):
+        k = len(g)
+        c = count[k][g]
+        disc = max(c - d[k][min(c, 3)], 0)
+        if k == 1:
+            total = sum(count[1].values())
+            return disc / total + sum(d[1][min(x, 3)] for x in count[1].values()) / total / (len(count[1]) + 1)
+        seen = by[k].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        return disc / sum(seen) + sum(d[k][min(x, 3)] for x in seen) / sum(seen) * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_perplexity_is_that_of_plain_counts(spark, texts, order):
+    texts = texts[:30] + [None, "", "!!", "unseen words here"]
+    fitted = texts[:-1]
+    model = perplexity.fit(table(spark, fitted), order=order, bucket_words=100)
+    assert model.buckets > 1
+    p = kneser_ney(fitted, order)
+    for r in perplexity.scored(table(spark, texts), model).collect():
+        w = tokens(texts[r.doc_id])
+        if not w:
+            assert r.n_tokens == 0 and r.perplexity is None
+            continue
+        w = ["<s>"] * (order - 1) + w + ["</s>"]
+        want = sum(math.log(p(tuple(w[i : i + order]))) for i in range(len(w) - order + 1))
+        assert r.log_prob == pytest.approx(want, rel=1e-6)
+
+
+def test_shuffle(spark, texts):
+    rows = table(spark, [*texts, *texts])
+    got = sharding.shuffled(rows, bucket_bytes=40_000)
+    out = got.collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(enumerate([*texts, *texts]))
+    assert len({r.shard for r in out}) > 3
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.position)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    again = sharding.shuffled(rows.repartition(7), bucket_bytes=40_000).collect()
+    assert {(r.doc_id, r.shard, r.position) for r in out} == {(r.doc_id, r.shard, r.position) for r in again}
+    other = sharding.shuffled(rows, seed=1, bucket_bytes=40_000).collect()
+    assert {(r.doc_id, r.shard, r.position) for r in out} != {(r.doc_id, r.shard, r.position) for r in other}
+    assert sharding.shuffled(table(spark, [])).count() == 0
+
+
+def test_quotations(spark):
+    rows = [
+        (1, 0, "a", "Where should we meet tomorrow evening?"),
+        (1, 1, "b", "I would say the harbour at nine."),
+        (1, 2, "c", "Al wrote:\n> Where should we meet\n> tomorrow evening?\nAt my place, as always."),
+        (1, 3, "a", "> > Where should we meet tomorrow evening?\n> At my place, as always.\nFine with me then."),
+        (1, 4, "b", "> something nobody has ever said here\nStill waiting."),
+        (1, 4, "b", "> something nobody has ever said here\nStill waiting."),
+        (2, None, None, None),
+        (None, 0, "x", "alone"),
+        (None, 1, "x", "> Where should we meet tomorrow evening?"),
+    ]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    one = next(r for r in got if r.conv_id == 1)
+    assert [(m.turn, m.parent_turn, m.depth) for m in one.messages] == [(0, None, 0), (1, 0, 1), (2, 0, 1), (3, 2, 2), (4, 3, 3)]
+    assert [m.text for m in one.messages][2:] == ["At my place, as always.", "Fine with me then.", "Still waiting."]
+    assert sum(r.conv_id is None for r in got) == 2 and len(got) == 4
+    assert chat.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_conversations_keep_their_turns(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    want = Counter(r.conv_id for r in rows.distinct().collect())
+    assert {r.conv_id: r.n_messages for r in chat.linked(rows).collect()} == dict(want)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    tokens = bpe.load(VOCABULARY)
+    return bpe.Encoder(tokens, bpe.split_table(tokens))
+
+
+def merged(encoder, data):
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        rank, i = min((encoder.rank.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [encoder.rank[p] for p in parts]
+
+
+def test_prefixes_append_and_edit(encoder):
+    rng = random.Random(7)
+    for _ in range(150):
+        p = bpe.Prefixes(encoder)
+        for _ in range(4):
+            p.append(rng.choice(WORDS).encode() + rng.choice([b"", b"ing", "é".encode(), b"  "]))
+        for end in range(1, len(p.data) + 1):
+            assert p.ids(end) == merged(encoder, p.data[:end])
+        p.edit(rng.randrange(len(p.data)), rng.randrange(4), rng.choice([b"", b"x", b"tion"]))
+        assert p.ids() == merged(encoder, p.data)
+    long = bpe.Prefixes(encoder, b"information" * 200)
+    assert long.edit(5, 1, b"z") < 400 and long.ids() == bpe.Prefixes(encoder, long.data).ids()
+
+
+def test_encoding_is_that_of_the_merge_loop(spark, encoder, texts):
+    import regex
+
+    more = [*texts[:20], None, "", "don't  we'll\n\n go 漢字   😀!!" + "y" * 300, "it's' 's", " ", "a\n b\t\t c  "]
+    for v in (bpe.Vocabulary(VOCABULARY), bpe.Vocabulary(VOCABULARY, r"\p{L}+|\P{L}+")):
+        df = bpe.encoded(table(spark, more), v)
+        assert "id" in df.columns
+        rows = df.collect()
+        for r in rows:
+            want = None if r.text is None else [t for p in regex.findall(v.pattern, r.text) for t in merged(encoder, p.encode())]
+            assert r.ids == want and r.n_tokens == (None if want is None else len(want))
+        back = bpe.decoded(df.withColumnRenamed("text", "was"), v).collect()
+        assert all(r.was == r.text for r in back)
+    assert bpe.encoded(table(spark, []), VOCABULARY).count() == 0
+
+
+def test_licenses(spark):
+    rows = [
+        (0, "p/LICENSE", licenses.TEMPLATES["MIT"][3]),
+        (1, "p/src/deep/a.py", "# Licensed under the Apache License, Version 2.0.\nx = 1"),
+        (2, "p/src/b.py", "no words about it"),
+        (3, "p/src/LICENSE.txt", licenses.TEMPLATES["BSD-3-Clause"][2]),
+        (4, "p/c.py", None),
+        (5, "q/d.py", ""),
+        (6, None, "Released under the MIT License."),
+        (7, "p/src/deep/e.py", "words " * 30_000 + "\nReleased under the MIT License.\n" + "words " * 10),
+        (2, "p/src/b.py", "no words about it"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = Counter((r.doc_id, r.license, r.via, r.source_path) for r in licenses.scanned(df, "path").collect())
+    assert got == Counter(
+        {
+            (0, "MIT", "file", "p/LICENSE"): 1,
+            (1, "Apache-2.0", "header", "p/src/deep/a.py"): 1,
+            (2, "BSD-3-Clause", "inherited", "p/src/LICENSE.txt"): 2,
+            (3, "BSD-3-Clause", "file", "p/src/LICENSE.txt"): 1,
+            (4, "MIT", "inherited", "p/LICENSE"): 1,
+            (6, "MIT", "header", None): 1,
+            (7, "MIT", "header", "p/src/deep/e.py"): 1,
+        }
+    )
+    assert licenses.scanned(df.limit(0), "path").count() == 0
+
+
+def test_pipeline_against_its_parts(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    out = corpus_pipeline.run(spark, d).collect()
+    sets = {r.doc_id: shingles(r.text, 3) for r in docs.collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    gone = set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6:
+            gone.add(b)
+    items = [shingles(r.text, 5) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    tested = {k for k, t in text.items() if any(len(i & shingles(t, 5)) >= 0.6 * len(i) for i in items)}
+    kept = {r.doc_id for r in out}
+    assert not kept & (gone | tested) and len(kept) >= 0.95 * len(set(text) - gone - tested)
+    words_of = bpe.load(VOCABULARY)
+    for r in out:
+        now = b"".join(words_of[k] for k in r.ids).decode()
+        assert not re.search(r"\S@\S+\.\w|\d{3}-\d{4}|\d{12}", now)
+        if not re.search(r"\d|@|AKIA", text[r.doc_id]):
+            assert now == text[r.doc_id]
