@@ -135,7 +135,7 @@ def freq_itemsets(s, d):
 
 @query(FREQUENT)
 def freq_itemsets_son(s, d):
-    return _joined(itemsets.son(_brands(s, d), "l_orderkey", "p_brand", _support(s, d))).where("size <= 4")
+    return _joined(itemsets.son(_brands(s, d), "l_orderkey", "p_brand", _support(s, d), 2)).where("size <= 4")
 
 
 @query(FREQUENT)
