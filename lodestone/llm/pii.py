@@ -77,7 +77,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[tuple[int, ...
         checks = 1 if "." in host and ".." not in span else -1
     elif kind == "IP":
         part = [int(x) for x in span.split(".")]
-        shape = 1 if all(str(p) == x for p, x in zip(part, span.split("."))) else -1
+        shape = 0 if all(str(p) == x for p, x in zip(part, span.split("."))) else -1  # any four numbers have it
         checks = 1 if max(part) < 256 else -1
         gaz = -1 if part[0] in (0, 127, 255) or part[0] >= 224 or max(part) < 20 or span == "8.8.8.8" else 1 if part[0] > 9 else 0
     elif kind == "SSN":
