@@ -221,10 +221,9 @@ def _label(model, penalty: float, column: int):
                 w = K.Words(texts[lo:hi])
                 score = m.score(w)
                 got = labels(score, w.first, penalty)
-                size = (w.end - w.start).astype(np.float64)
                 n = hi - lo
                 weight = np.zeros((n, len(names)))
-                np.add.at(weight, (w.doc, got), size)
+                np.add.at(weight, (w.doc, got), 1)  # by words: one long key is one word
                 count = np.diff(w.first)
                 top, all_ = weight.argmax(axis=1), weight.sum(axis=1)
                 new = np.ones(len(got), dtype=bool)
@@ -245,7 +244,7 @@ def _label(model, penalty: float, column: int):
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, penalty: float = 12.0) -> DataFrame:
-    """The columns `keep` (all, if None) with lang_found, lang_share (of the letters), n_words, spans (runs of
+    """The columns `keep` (all, if None) with lang_found, lang_share (of the words), n_words, spans (runs of
     words in one language; words count from 0) and rejected (no words, or und leads)."""
     keep = docs.columns if keep is None else keep
     keep = [c for c in keep if c not in {f.name for f in RESULT}]
