@@ -227,7 +227,7 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.clip(np.array(d), [0, 0.05, 0.1, 0.15], [0, 1, 2, 3])
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = 2, bucket_words: int = 3_000_000) -> Model:
+def fit(docs: DataFrame, text: str = "text", order: int = 3, bucket_words: int = 3_000_000) -> Model:
     """Counts all texts. order >= 2."""
     spark = docs.sparkSession
     folder = mounted(spark)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from lodestone.llm import bpe, chat, decontaminate, language, licenses, near, perplexity, pii, rules, sharding
-from lodestone.llm.queries import VOCABULARY
+from lodestone.llm.queries import VOCABULARY, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, shard string, rule string"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ter", "shu", "ban") for b in ("ra", "ne", "tol", "vi", "gos") for c in ("", "n", "sk", "ma")]
@@ -277,6 +277,15 @@ def test_perplexity_is_that_of_plain_counts(spark, texts, order):
         assert r.log_prob == pytest.approx(want, rel=1e-6)
 
 
+def test_perplexity_registered_sees_more_than_one_word_back(spark, tmp_path):
+    """Two texts of the same bigrams; only the corpus's trigrams tell the real one from the salad."""
+    corpus = [f"{x} sees {y}" for x, y in (("ann", "bob"), ("cid", "dora"))] * 20
+    texts = [*corpus, "ann sees bob", "ann sees dora"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_prob for r in queries()["op6_perplexity"](spark, str(tmp_path)).collect()}
+    assert got[len(corpus)] > got[len(corpus) + 1] + 0.5
+
+
 def test_shuffle(spark, texts):
     rows = table(spark, [*texts, *texts])
     got = sharding.shuffled(rows, bucket_bytes=40_000)
