@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import catalog
 from lodestone.functions import text as X
 from lodestone.operators import cf, cluster, graph, itemsets, sketch
 
@@ -70,3 +71,23 @@ def test_bloom_has_no_false_negatives(spark):
     known = spark.createDataFrame([(f"city {k}",) for k in range(50)] + [("",), (None,)], "c string")
     got = {r.c: r.verdict for r in sketch.bloom_probe(known, known, "c").collect()}
     assert got.pop("") == 0 and got.pop(None) == 0 and set(got.values()) == {1}
+
+
+def test_graph_queries_take_every_pair(spark, tmp_path):
+    """16 suppliers on a ring with chords: more edges than the largest cap had, against brute force."""
+    rows = [(k, x) for k, (x, y) in enumerate((x, y) for x in range(16) for y in range(x + 1, 16)) for x in (x, y)] + [(900, 20), (900, 21), (901, 22), (901, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    q = catalog.queries()
+    assert {r.id: r.degree for r in q["degree"](spark, str(tmp_path)).collect()} == {**dict.fromkeys(range(16), 15), 20: 1, 21: 1}
+    for name in ("components", "label_propagation"):
+        got = {r.id: r.community for r in q[name](spark, str(tmp_path)).collect()}
+        assert set(got) == {*range(16), 20, 21} and len({got[k] for k in range(16)}) == 1 and not {got[20], got[21]} & {got[0]}
+    assert {(r.a, r.b): r.value for r in q["betweenness"](spark, str(tmp_path)).collect()} == {**{(a, b): 1 for a in range(16) for b in range(a + 1, 16)}, (20, 21): 1}
+
+
+def test_girvan_newman_query_takes_every_pair(spark, tmp_path):
+    """Two cliques of five joined by one edge: 21 edges, more than the cap of 12."""
+    pairs = [(x, y) for g in (0, 5) for x in range(g, g + 5) for y in range(x + 1, g + 5)] + [(4, 5)]
+    spark.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.id: r.community for r in catalog.queries()["girvan_newman"](spark, str(tmp_path)).collect()}
+    assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(5, 10), 5)}
