@@ -1,6 +1,6 @@
 """Personal data by weak supervision.
 
-Candidate spans come from one wide pattern. Labelers of three sorts vote on each candidate, +1, -1 or 0: strict
+Candidate spans come from wide patterns, each matched by itself. Labelers of three sorts vote on each candidate, +1, -1 or 0: strict
 patterns (shape, checksum, ranges), gazetteers (top-level domains, issuer prefixes, area codes, names of
 secrets) and context (words before and after the span). Nothing is labelled by hand: expectation-maximisation
 over the votes estimates how reliable each labeler is for each kind of span and how likely each candidate is real,
@@ -9,10 +9,10 @@ shape, which decides about each span.
 
 Votes and features are counted in Spark over all documents; what comes to the driver are counts of distinct
 (kind, votes, features) combinations, whose number is bounded by the labelers, not by the data. Documents without
-a digit or an @ cannot hold a candidate and are passed over in Arrow; all others are read whole.
+a digit, an @ or the name of a secret cannot hold a candidate and are passed over in Arrow; all others are read whole.
 
-Defined results: null and empty texts hold no spans and stay as they are. Of overlapping spans the one that starts
-first stays, of those the longest. Offsets count characters. Repeated rows are treated alike.
+Defined results: null and empty texts hold no spans and stay as they are. Overlapping
+spans that are held to be real are one, of the longest one's kind. Offsets count characters. Repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -32,15 +32,19 @@ from pyspark.sql import types as T
 from . import kernel as K
 
 KINDS = ("EMAIL", "IP", "SSN", "PHONE", "CARD", "SECRET")
-#: What every candidate holds, for skipping the texts without: a digit or an @.
-NEEDED = "[0-9@]"
-WIDE = re.compile(
-    r"(?P<EMAIL>[A-Za-z0-9][\w.+%-]{0,63}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,8})"
-    r"|(?P<SECRET>(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])|[A-Za-z_]{2,30}[ \t]{0,4}[=:][ \t]{0,4}[\"'](?=[^\"'\n]{0,250}\d)[^\"'\s]{8,250}[\"']|(?=[A-Za-z]{0,127}\d)[A-Fa-f0-9]{32,128}(?![A-Za-z0-9])))"
-    r"|(?P<IP>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
-    r"|(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<PHONE>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\d-]))"
-    r"|(?P<CARD>(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]))"
+#: What every candidate holds, for skipping the texts without: a digit, an @ or the name of a secret.
+NEEDED = "(?i)[0-9@]|token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|private|credential"
+_NAMED = r"(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth(?!ors?\b)|private[_-]?key|credential)"
+#: Each is matched by itself, so a span of one never hides one of another.
+WIDE: tuple[tuple[str, re.Pattern], ...] = (
+    ("EMAIL", re.compile(r"[A-Za-z0-9][\w.+%-]{0,63}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[A-Za-z]{0,127}\d)[A-Fa-f0-9]{32,128}(?![A-Za-z0-9]))")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9])[A-Za-z_]{2,30}[ \t]{0,4}[=:][ \t]{0,4}[\"'](?=[^\"'\n]{0,250}\d)[^\"'\s]{8,250}[\"']")),
+    ("SECRET", re.compile(r"(?i)(?<![A-Za-z0-9_-])[\w-]{0,30}?" + _NAMED + r"[\w-]{0,30}[\"']?[ \t]{0,4}:?[=:][ \t]{0,4}(?:[\"'][^\"'\s]{8,250}[\"']|[^\s\"'<>(){},;]{8,250})")),
+    ("IP", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")),
+    ("SSN", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
+    ("PHONE", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\d-])")),
+    ("CARD", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])")),
 )
 TLDS = frozenset("com net org edu gov mil int info biz io co uk de fr es it nl eu us ca au jp cn in br ru ch se no fi pl at be pt dev app ai me tv".split())
 SECRET_NAMES = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_?key|auth|private|credential|AKIA|ASIA")
@@ -84,7 +88,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[tuple[int, ...
         shape = 1
         checks = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     elif kind == "PHONE":
-        shape = 1 if re.fullmatch(r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}", span) else 1 if span[0] == "+" and 8 <= len(digits) <= 15 else -1
+        shape = -1 if span.isdigit() else 1 if re.fullmatch(r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}", span) else 1 if span[0] == "+" and 8 <= len(digits) <= 15 else -1
         checks = 1 if 9 <= len(digits) <= 15 else -1
         gaz = 1 if len(digits) >= 10 and digits[-10] in "23456789" else -1
     elif kind == "CARD":
@@ -92,8 +96,8 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[tuple[int, ...
         checks = 1 if luhn(digits) else 0  # a failed sum is weak evidence: numbers are mistyped and masked
         gaz = 1 if re.match(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38", digits) else -1
     else:
-        value = re.split(r"[=:]", span, maxsplit=1)[-1].strip(" \t\"'")
-        shape = 1 if re.fullmatch(r"[A-Za-z0-9_+/=.-]{12,}", value) else -1
+        value = re.split(r":?[=:]", span, maxsplit=1)[-1].strip(" \t\"'")
+        shape = 0 if value.isalpha() and value[1:].islower() else 1 if re.fullmatch(r"[A-Za-z0-9_+/=.-]{12,}", value) else -1
         checks = 1 if entropy(value) > 3 and len(value) >= 16 else -1
         gaz = 1 if SECRET_NAMES.search(span) else 0
     context = 1 if AROUND[kind].search(before) or AROUND[kind].search(after) else 0
@@ -103,13 +107,16 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[tuple[int, ...
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, tuple, tuple]]:
-    for m in WIDE.finditer(text):
-        a, b = m.span()
-        kind = m.lastgroup
-        if kind == "EMAIL":
-            b -= len(m[0]) - len(m[0].rstrip(".-_"))
-        span = text[a:b]
-        yield a, b, kind, *votes(kind, span, text[max(0, a - 30) : a], text[b : b + 15])
+    """Those of all kinds, which may overlap."""
+    seen = set()
+    for kind, pattern in WIDE:
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if kind == "EMAIL":
+                b -= len(m[0]) - len(m[0].rstrip(".-_"))
+            if (a, b, kind) not in seen:
+                seen.add((a, b, kind))
+                yield a, b, kind, *votes(kind, text[a:b], text[max(0, a - 30) : a], text[b : b + 15])
 
 
 class Classifier:
@@ -210,6 +217,20 @@ def found(text: str, classifier: Classifier, memo: dict, threshold: float = 0.5)
             p = memo[key] = classifier.probability(*key)
         if p >= threshold:
             out.append((a, b, kind, p))
+    return merged(out)
+
+
+def merged(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Overlapping spans as one that covers them all, of the longest one's kind."""
+    out, most = [], 0
+    for a, b, kind, p in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if out and a < out[-1][1]:
+            start, end, *was = out[-1]
+            out[-1] = (start, max(end, b), *((kind, p) if b - a > most else was))
+            most = max(most, b - a)
+        else:
+            out.append((a, b, kind, p))
+            most = b - a
     return out
 
 

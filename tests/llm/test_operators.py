@@ -188,6 +188,38 @@ def test_private_spans(spark):
     assert pii.spans(table(spark, []), pii.fit(table(spark, []))).count() == 0
 
 
+PRIVATE = {
+    'ssn = "123-45-6789"': ("SSN", "123-45-6789"),
+    'email="jo.smith4@example.com"': ("EMAIL", "jo.smith4@example.com"),
+    "host: '83.12.55.201'": ("IP", "83.12.55.201"),
+    "pay by card 4539 5787 6362 1486 today": ("CARD", "4539 5787 6362 1486"),
+    "call (212)555-0199 now": ("PHONE", "(212)555-0199"),
+    "call +12125550199 now": ("PHONE", "+12125550199"),
+    "phone 2125550199 now": ("PHONE", "2125550199"),
+    "api_key=9f86d081884cQd659a2fXaa0c55ad": ("SECRET", "9f86d081884cQd659a2fXaa0c55ad"),
+    'password: "QwErTyUiOpAsDfGhJkLz"': ("SECRET", "QwErTyUiOpAsDfGhJkLz"),
+    "auth_token: QwErTyUiOpAsDfGhJkLz": ("SECRET", "QwErTyUiOpAsDfGhJkLz"),
+}
+
+
+@pytest.mark.parametrize("text", PRIVATE)
+def test_wide_matches_hide_no_others(text):
+    kind, span = PRIVATE[text]
+    assert any(k == kind and span in text[a:b] for a, b, k, *_ in pii.candidates(text))
+
+
+def test_private_spans_in_awkward_forms(spark):
+    docs = table(spark, [f"{' '.join(words(20, k))} {t} {' '.join(words(9, k))}" for k in range(4) for t in PRIVATE] + [f"the {k}th of {1700000000 + k} rows" for k in range(40)] + ["the author: unauthenticated", "tokens: of the trade"])
+    got = {r.doc_id: r for r in pii.spans(docs, pii.fit(docs)).collect()}
+    assert set(got) == set(range(4 * len(PRIVATE)))
+    for k, r in got.items():
+        assert list(PRIVATE.values())[k % len(PRIVATE)][1] not in r.text and not re.search(r"\d{4}", r.text)
+
+
+def test_overlapping_spans_are_one():
+    assert pii.merged([(4, 9, "PHONE", 0.6), (0, 5, "SSN", 0.9), (0, 7, "CARD", 0.8), (9, 12, "IP", 0.7)]) == [(0, 9, "CARD", 0.8), (9, 12, "IP", 0.7)]
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(4)
     y = rng.random(4000) < 0.6
