@@ -435,6 +435,28 @@ def test_licenses(spark):
     assert licenses.scanned(df.limit(0), "path").count() == 0
 
 
+def test_every_license_template_finds_itself(spark):
+    every = [(name, t) for name, group in licenses.TEMPLATES.items() for t in group]
+    rows = [(k, f"p{k}/a.py", f"# Made by Jo\n#\n# {t}\n\nx = {k}") for k, (_, t) in enumerate(every)]
+    got = {r.doc_id: (r.license, r.via) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"), "path").collect()}
+    assert got == {k: (name, "header") for k, (name, _) in enumerate(every)}
+
+
+def test_license_cues_lose_no_passage():
+    rng = random.Random(8)
+    every = [t for group in licenses.TEMPLATES.values() for t in group]
+    idf = {w: rng.uniform(1, 9) for t in every for w in licenses.words(t)}
+    scanner = licenses.Scanner(idf, licenses.TEMPLATES)
+    cue, hits = scanner.cue(0.7), 0
+    for _ in range(4000):
+        w = licenses.words(rng.choice(every))
+        p = rng.sample(w, rng.randint(1, len(w))) + words(rng.randint(0, 4), rng.random())
+        if (scanner.best(" ".join(p)) or (0,))[0] >= 0.7:
+            hits += 1
+            assert not cue.isdisjoint(p)
+    assert hits > 200
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
 
