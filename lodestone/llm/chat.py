@@ -1,7 +1,7 @@
 """Chat formatting by quotation linking.
 
 Messages are parsed into lines of quote levels (leading '>' marks); a line that introduces a quotation ("... wrote:")
-right before one is dropped with it. Each paragraph and each line of a message's own words, and of what it quotes at
+right before one is dropped with it. Each paragraph, line and sentence of a message's own words, and of what it quotes at
 each level, is normalised (case, white space and marks at its ends) and hashed. A quoted passage joins the latest
 earlier message of the conversation that says it in its own words; the message with most quoted characters at the
 outermost level that joins is the parent. A message that quotes nothing known answers the one before it. Each
@@ -29,8 +29,8 @@ from .shared import written
 
 _MARK = re.compile(r"[ \t]*>")
 _INTRO = re.compile(r"^[^>\n]{0,200}(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.I)
-#: Passages of fewer characters, normalised, are too common to point to a message.
-LEAST = 12
+#: Where a sentence ends.
+_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|(?<=[。！？])\s*")
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -55,17 +55,19 @@ def normal(words: str) -> str:
 
 
 def passages(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """(level, normalised passage) of each line and of each paragraph of more than one line."""
+    """(level, normalised passage) of each line, each paragraph of more than one line and each sentence of a
+    paragraph; passages of any length."""
     out, held, at = [], [], -1
     for level, line in [*lines, (-1, "")]:
         if level != at or not line.strip():
-            if len(held) > 1:
-                out.append((at, normal(" ".join(held))))
+            if held:
+                whole = " ".join(held)
+                out += [(at, normal(x)) for x in (whole, *_END.split(whole))]
             held, at = [], level
         if line.strip():
             held.append(line)
             out.append((level, normal(line)))
-    return list(dict.fromkeys(p for p in out if p[0] >= 0 and len(p[1]) >= LEAST))
+    return list(dict.fromkeys(p for p in out if p[0] >= 0 and p[1]))
 
 
 def own_words(lines: list[tuple[int, str]]) -> str:

@@ -355,6 +355,22 @@ def test_quotations(spark):
     assert chat.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_short_and_partial_quotations(spark):
+    rows = [
+        (1, 0, "a", "Why not?"),
+        (1, 1, "b", "It rains all day. I would rather stay\nat home then. Call me!"),
+        (1, 2, "c", "At nine"),
+        (1, 3, "d", "> Why not?\nBecause."),
+        (1, 4, "a", "> I would rather stay at home then.\nPity."),
+        (1, 5, "b", "> At nine\nFine."),
+        (1, 6, "c", "> Call me!\nI will."),
+        (1, 7, "d", "> at home\nNo one said just that."),
+    ]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    parent = {m.turn: (m.parent_turn, m.quotes) for m in got[0].messages}
+    assert parent == {0: (None, False), 1: (0, False), 2: (1, False), 3: (0, True), 4: (1, True), 5: (2, True), 6: (1, True), 7: (6, False)}
+
+
 def test_conversations_keep_their_turns(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     want = Counter(r.conv_id for r in rows.distinct().collect())
