@@ -1,5 +1,8 @@
 """The library's own operators: small goldens worked out by hand, and a differential test of the miners."""
 
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -100,3 +103,16 @@ def test_predictions_are_for_every_pair_of_the_facts(spark):
     for name in ("cf_item_predict", "cf_user_predict", "svd_predict"):
         rows = catalog.queries()[name](spark, d).collect()
         assert len(rows) == len(want) and {(r.user, r.item) for r in rows} == want and all(r.pred is not None for r in rows)
+
+
+def test_itemset_queries_have_no_largest_size(spark, tmp_path):
+    brands = [f"b{k}" for k in range(7)]
+    held = [(0, 1, 2, 3, 4, 5)] * 3 + [(1, 2, 3, 4, 6), (0, 6)]
+    spark.createDataFrame([(k, b) for k, basket in enumerate(held) for b in basket], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(list(enumerate(brands)), "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k,) for k in range(len(held))], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    count = Counter(c for basket in held for n in range(1, 8) for c in combinations(basket, n))
+    want = {(len(c), ",".join(brands[k] for k in c), n) for c, n in count.items() if n >= 2}
+    assert max(n for n, _, _ in want) == 6
+    for name in ("freq_itemsets", "freq_itemsets_son", "freq_itemsets_fp"):
+        assert {tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == want
