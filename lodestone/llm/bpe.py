@@ -222,9 +222,7 @@ class Batch:
         self.encoder = encoder
         self.size = np.array([len(t) for t in encoder.tokens], np.int64)
         self.v = len(encoder.tokens)
-        data = np.frombuffer(b"".join(encoder.tokens), np.uint8)
-        end = np.cumsum(self.size)
-        self.hash, self.id = self._sorted(_hashes(data, end - self.size, end))
+        self.hash, self.id = self._sorted(_tokens(encoder.tokens))
         self.single = np.zeros(256, np.int64)
         for k, t in enumerate(encoder.tokens):
             if len(t) == 1:
@@ -362,30 +360,31 @@ class Batch:
         return flat
 
 
-def _hashes(byte: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each range of bytes, by its content."""
-    fwd, inv = K._Powers.upto(len(byte) + 1)
+_BASE = K.U(0x9E3779B97F4A7C15)
+_WIDE = 64
+with np.errstate(over="ignore"):
+    _FWD, _INV = (np.cumprod(np.array([1, *[b] * _WIDE], K.U), dtype=K.U) for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)))
+
+
+def _tokens(tokens: list[bytes]) -> np.ndarray:
+    """A hash of each token below _WIDE bytes that _between can take from running sums; 0 for longer ones."""
     with np.errstate(over="ignore"):
-        total = np.zeros(len(byte) + 1, K.U)
-        np.cumsum((byte.astype(K.U) + K.U(1)) * fwd[: len(byte)], out=total[1:])
-        return K.mix((total[end] - total[start]) * inv[start])
+        return np.array([K.mix(np.array([((np.frombuffer(t, np.uint8).astype(K.U) + K.U(1)) * _FWD[: len(t)]).sum(dtype=K.U)], K.U))[0] if len(t) < _WIDE else K.U(0) for t in tokens], K.U)
 
 
 def _prefix(byte, s, n, widest) -> np.ndarray:
-    """[pieces, widest + 1]: running sums of each piece, as _hashes has them, from its own start."""
+    """[pieces, widest + 1]: running sums of each piece from its own start."""
     out = np.zeros((len(s), widest + 1), K.U)
-    fwd, _ = K._Powers.upto(widest + 1)
     with np.errstate(over="ignore"):
         for e in range(widest):
             own = np.flatnonzero(n > e)
-            out[own, e + 1] = out[own, e] + (byte[s[own] + e].astype(K.U) + K.U(1)) * fwd[e]
+            out[own, e + 1] = out[own, e] + (byte[s[own] + e].astype(K.U) + K.U(1)) * _FWD[e]
     return out
 
 
 def _between(prefix, own, a, b) -> np.ndarray:
-    inv = K._Powers.upto(b + 1)[1]
     with np.errstate(over="ignore"):
-        return K.mix((prefix[own, b] - prefix[own, a]) * inv[a])
+        return K.mix((prefix[own, b] - prefix[own, a]) * _INV[a])
 
 
 class _Known:
@@ -400,7 +399,7 @@ class _Known:
 
     def ids(self, byte, start, end) -> tuple[np.ndarray, np.ndarray]:
         """As Batch.encode; each distinct piece is encoded once."""
-        h, at, back = np.unique(_hashes(byte, start, end), return_index=True, return_inverse=True)
+        h, at, back = np.unique(K.hashes(byte, start, end), return_index=True, return_inverse=True)
         k = np.searchsorted(self.hash, h)
         new = np.ones(len(h), dtype=bool)
         inside = k < len(self.hash)

@@ -47,9 +47,7 @@ def _signatures(n: int, size: int, draws: list[int]):
                 grams, first = w.grams(n)
                 blank = np.flatnonzero((np.diff(first) == 0) & (np.diff(w.at) > 0))
                 if len(blank):  # texts without words: one n-gram, from all bytes
-                    fwd, inv = K._Powers.upto(len(w.bytes))
-                    with np.errstate(over="ignore"):
-                        value = np.array([K.mix(np.array([np.sum((w.bytes[w.at[r] : w.at[r + 1]].astype(K.U) + K.U(1)) * fwd[: w.at[r + 1] - w.at[r]])], K.U))[0] for r in blank], K.U)
+                    value = K.hashes(w.bytes, w.at[:-1][blank], w.at[1:][blank])
                     grams = np.insert(grams, first[blank], value)
                     count = np.diff(first)
                     count[blank] = 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, language, licenses, near, perplexity, pii, rules, sharding
+from . import kernel as K
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -72,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_WORDS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
+_WORDS = f"list_filter(regexp_extract_all(lower(text), '{K.WORD_RE2}'), lambda w: w <> '')"
 _GRAMS = "unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))"
 
 
@@ -80,8 +81,8 @@ def oracle_sql() -> dict[str, str]:
     """Exact containment of every document and item; items have at least five words in these tables."""
     return {
         "op1_decontaminate": f"""
-            WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
-            d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+            WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+            d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
             ig AS (SELECT DISTINCT item_id, {_GRAMS} AS g FROM i),
             dg AS (SELECT DISTINCT doc_id, {_GRAMS} AS g FROM d),
             n AS (SELECT item_id, count(*) AS size FROM ig GROUP BY item_id)

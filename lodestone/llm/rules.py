@@ -60,13 +60,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     start = np.sort(np.concatenate([at[:-1][full], feed + 1]))
     stop = np.sort(np.concatenate([at[1:][full], feed]))
     owner = np.sort(np.concatenate([full, row]))
-    fwd, inv = K._Powers.upto(max(len(byte), 1) + 1)
-    with np.errstate(over="ignore"):
-        run = np.zeros(len(byte) + 1, K.U)
-        np.cumsum((byte.astype(K.U) + K.U(1)) * fwd[: len(byte)], out=run[1:])
-        line = K.mix((run[stop] - run[start]) * inv[np.minimum(start, len(inv) - 1)])
     long = stop > start
-    line, owner = line[long], owner[long]
+    line, owner = K.hashes(byte, start[long], stop[long]), owner[long]
     bound = np.searchsorted(owner, np.arange(n + 1))
     lines = np.diff(bound)
     unique = np.diff(K.distinct(line, bound)[1])

@@ -11,11 +11,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lodestone.llm import kernel as K
 from lodestone.llm import bpe, chat, decontaminate, language, licenses, near, perplexity, pii, rules, sharding
 from lodestone.llm.queries import VOCABULARY, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, shard string, rule string"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ter", "shu", "ban") for b in ("ra", "ne", "tol", "vi", "gos") for c in ("", "n", "sk", "ma")]
+APART = "\x80-©«-´¶-¹»-¿×÷\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
 
 def words(n, seed):
@@ -41,7 +44,7 @@ def texts():
 
 
 def tokens(text):
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    return re.findall(f"[{ALONE}]|[^\\x00-/:-`{{-\\x7f{APART}{ALONE}]+", (text or "").lower())
 
 
 def shingles(text, n):
@@ -51,6 +54,21 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
 
 
+def test_words():
+    """Dashes and foreign marks part words, characters of scripts without blanks stand alone, and words of equal
+    polynomials modulo 2^64 (Thue-Morse) are told apart."""
+    texts = ["foo—bar  Baz's 12x", "漢字かな交じり abc漢d", "สวัสดี hello", "¿Qué? «a»b", "\U00020000\U00020000x", "", "Ünïx ß", "x" * 3000 + " x"]
+    w = K.Words(pa.array(texts, pa.large_string()))
+    got = [[w.bytes[a:b].tobytes().decode() for a, b in zip(w.start[i:j], w.end[i:j])] for i, j in zip(w.first, w.first[1:])]
+    assert got == [tokens(t) for t in texts] == [re.findall(K.WORD, t.lower()) for t in texts]
+    assert got[0][:2] == ["foo", "bar"] and got[1][0] == "漢"
+    even = "a"
+    while len(even) < 1024:
+        even += even.translate({97: "b", 98: "a"})
+    both = [even, even.translate({97: "b", 98: "a"})]
+    assert len(set(K.Words(pa.array(both, pa.large_string())).hash)) == 2
+
+
 def test_containment_is_that_of_brute_force(spark, texts):
     items = [(0, " ".join(texts[1].split()[5:40])), (1, " ".join(words(30, 1234))), (2, None), (3, ""), (4, "one"), (5, " ".join(texts[-1].split()[20_000:20_050])), (5, " ".join(texts[-1].split()[20_000:20_050])), (6, " ".join(texts[2].split()[:20] + words(3, 8)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
