@@ -9,8 +9,10 @@ redone, until as many entries as the longest token has bytes agree with the old
 Pieces come from the vocabulary's splitting pattern, so the result is that of the ordinary merge loop. Workers keep
 the encodings of pieces they have met, MEMO at most. The vocabulary is a file of ranks whose path is a parameter.
 
-Defined results: a null text has null ids, an empty one no ids. Decoding null gives null; bytes that are not
-UTF-8 are replaced by U+FFFD; unknown ids raise an error. Every row gives one row.
+Defined results: a null text has null ids, an empty one no ids; a text without blanks is one piece and costs time in
+proportion to its bytes. Decoding null gives null, no ids the empty text; bytes that are not UTF-8 are replaced by
+U+FFFD; null, negative and unknown ids raise an error. Every row gives one row, repeated ones too; an empty table gives
+an empty result. Columns named ids or n_tokens are replaced, all others may have any name.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
+from .shared import opened, shipped, unused
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 400_000
@@ -447,11 +450,11 @@ class Vocabulary:
 
 def encoded(docs: DataFrame, vocabulary: str | Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all, if None) with ids (array<int>) and n_tokens; columns of these names are replaced."""
-    held = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary)
+    held = shipped(docs.sparkSession, Vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_tokens")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = held.value
+        v = opened(held)
         known = _Known(Batch(Encoder(v.tokens, v.splits, v.pattern)))
         other = None if v.pattern == PATTERN else _by_pattern(v.pattern)
         for batch in batches:
@@ -471,17 +474,39 @@ def encoded(docs: DataFrame, vocabulary: str | Vocabulary, text: str = "text", k
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), ids, pa.array(np.diff(total), mask=null)], [*keep, "ids", "n_tokens"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
-    return docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias("_text_of_it")).mapInArrow(encode, schema)
+    return docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias(unused())).mapInArrow(encode, schema)
 
 
 def decoded(df: DataFrame, vocabulary: str | Vocabulary, ids: str = "ids", to: str = "text") -> DataFrame:
-    """df with the column `to`: the texts of the ids."""
-    tokens = load(vocabulary) if isinstance(vocabulary, str) else vocabulary.tokens
-    held = df.sparkSession.sparkContext.broadcast(tokens)
+    """df with the column `to`: the texts of the ids. Bytes that are not UTF-8 are replaced by U+FFFD."""
+    held = df.sparkSession.sparkContext.broadcast(load(vocabulary) if isinstance(vocabulary, str) else vocabulary.tokens)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def decode(column):
+        import pandas as pd
+
         words = held.value
-        return column.map(lambda row: None if row is None else b"".join([words[k] for k in row]).decode("utf-8", "replace"))
+        size = np.array([len(t) for t in words])
+        flat, every = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size)
+        null = column.isna().to_numpy()
+        rows = [np.asarray(r) if len(r) else np.zeros(0, np.int64) for r in column[~null]]
+        out = np.full(len(column), None, object)
+        if not rows:
+            return pd.Series(out)
+        key = np.concatenate(rows)
+        if key.dtype.kind not in "iu" or len(key) and (key.min() < 0 or key.max() >= len(words)):
+            raise ValueError("an id is null or not one of the vocabulary")
+        key = key.astype(np.int64)
+        n = size[key]
+        ends = np.cumsum(n)
+        byte = flat[np.repeat(every[key] - ends, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
+        out[~null] = [byte[a:b] for a, b in zip(cut, cut[1:])]
+        return pd.Series(out)
+
+    @F.pandas_udf("string")
+    def readable(column):
+        return column.map(lambda b: None if b is None else b.decode("utf-8", "replace"))
 
-    return df.withColumn(to, decode(df[ids]))
+    binary = decode(df[ids].cast("array<int>"))
+    return df.withColumn(to, readable(binary))

@@ -11,7 +11,9 @@ cost at least k - 1 switches and gain at most k/2 penalties. All other texts go
 at a time, word by word.
 
 Defined results: a null or empty text or one without words has lang null, no spans and is rejected. Ties go to
-the language first by name. Every row gives one row; a null label is not used in fitting.
+the language first by name. Every row gives one row, repeated ones too; a null label is not used in fitting; a very long
+text is labelled whole. Empty tables give empty results and a model that knows no language and rejects all. `identify`
+replaces columns that are named like its results; `identified` returns the columns it got, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
+from .shared import opened, shipped, unused
 
 SLOTS = 1 << 17
 #: Upper ends of code point ranges and the script below each; unknown ranges are script 0.
@@ -141,14 +144,14 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     size = np.array([len(scores[i]) for i in order])
     if not len(size) or not size[0]:
-        return [np.zeros(0, np.int8) for _ in scores]
+        return [np.zeros(0, np.int16) for _ in scores]
     n, states = len(order), scores[0].shape[1]
-    back = np.empty((size.sum(), states), np.int8)  # by step: the previous label of each state
+    back = np.empty((size.sum(), states), np.int16)  # by step: the previous label of each state
     flat = np.concatenate([scores[i] for i in order])
     first = np.concatenate([[0], np.cumsum(size)])
     best = flat[first[:-1]].copy()
     final = best.copy()
-    keep = np.broadcast_to(np.arange(states, dtype=np.int8), (n, states))
+    keep = np.broadcast_to(np.arange(states, dtype=np.int16), (n, states))
     alive = n
     for t in range(1, int(size[0])):
         while size[alive - 1] <= t:
@@ -162,7 +165,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         best[:alive] = np.where(stay, now, jump[:, None]) + flat[at]
     out: list = [None] * n
     for k, i in enumerate(order):
-        label = np.empty(size[k], np.int8)
+        label = np.empty(size[k], np.int16)
         s = int(best[k].argmax())
         for t in range(size[k] - 1, -1, -1):
             label[t] = s
@@ -176,7 +179,7 @@ def labels(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word; first: the first word of each text (texts + 1)."""
     size = np.diff(first)
     full = np.flatnonzero(size > 0)
-    out = np.zeros(len(score), np.int8)
+    out = np.zeros(len(score), np.int16)
     if not len(full):
         return out
     total = np.zeros((len(size), score.shape[1]))
@@ -211,12 +214,14 @@ SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()),
 RESULT = [T.StructField("lang_found", T.StringType()), T.StructField("lang_share", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("rejected", T.BooleanType())]
 
 
-def _label(model, penalty: float, column: int):
+def _label(model, penalty: float, column: int, filtered: bool = False):
+    """Adds the result to each row in place of the column of texts, the last; or, `filtered`, drops rejected rows."""
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = opened(model)
         names = [*m.langs, "und"]
         for batch in batches:
-            texts = K.strings(batch.column(column))
+            texts = K.strings(batch.column(column).cast(pa.string()))
             for lo, hi in K.chunks(texts):
                 w = K.Words(texts[lo:hi])
                 score = m.score(w)
@@ -226,6 +231,11 @@ def _label(model, penalty: float, column: int):
                 np.add.at(weight, (w.doc, got), 1)  # by words: one long key is one word
                 count = np.diff(w.first)
                 top, all_ = weight.argmax(axis=1), weight.sum(axis=1)
+                none = count == 0
+                rejected = none | (top == len(names) - 1)
+                if filtered:
+                    yield batch.slice(lo, n).filter(pa.array(~rejected))
+                    continue
                 new = np.ones(len(got), dtype=bool)
                 new[1:] = (got[1:] != got[:-1]) | (w.doc[1:] != w.doc[:-1])
                 at = np.flatnonzero(new)
@@ -234,10 +244,8 @@ def _label(model, penalty: float, column: int):
                 offsets = np.searchsorted(d, np.arange(n + 1)).astype(np.int32)
                 word = pa.array(names)
                 spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array((at - w.first[d]).astype(np.int32)), pa.array((end - w.first[d]).astype(np.int32)), word.take(pa.array(got[at]))], ["first_word", "end_word", "lang"]))
-                none = count == 0
                 lang = word.take(pa.array(top, mask=none))
                 share = pa.array(weight[np.arange(n), top] / np.maximum(all_, 1), mask=none)
-                rejected = none | (top == len(names) - 1)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[: len(batch.columns) - 1]), lang, share, pa.array(count.astype(np.int64)), spans, pa.array(rejected)], [*batch.schema.names[:-1], *(f.name for f in RESULT)])
 
     return label
@@ -248,15 +256,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     words in one language; words count from 0) and rejected (no words, or und leads)."""
     keep = docs.columns if keep is None else keep
     keep = [c for c in keep if c not in {f.name for f in RESULT}]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: SLOTS rows
-    rows = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias("_text_of_it"))
+    held = shipped(docs.sparkSession, model)  # a fixed size: SLOTS rows
+    rows = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias(unused()))
     schema = T.StructType([*(docs.schema[c] for c in keep), *RESULT])
     return rows.mapInArrow(_label(held, penalty, len(keep)), schema)
 
 
-def identified(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def identified(docs: DataFrame, model: Model, text: str = "text", penalty: float = 12.0) -> DataFrame:
     """docs, all columns, without rejected documents."""
-    named = [c for c in docs.columns if c not in {f.name for f in RESULT}]
-    if len(named) < len(docs.columns):
-        raise ValueError("a column has the name of a result; rename it first")
-    return identify(docs, text=text, **options).where("not rejected").select(*docs.columns)
+    return docs.mapInArrow(_label(shipped(docs.sparkSession, model), penalty, docs.columns.index(text), True), docs.schema)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
+from .shared import opened, shipped
 
 KINDS = ("EMAIL", "IP", "SSN", "PHONE", "CARD", "SECRET")
 #: What every candidate holds, for skipping the texts without: a digit, an @ or the name of a secret.
@@ -248,10 +249,10 @@ _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind"
 
 def spans(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_spans, spans, text) of the documents that hold personal data; text is redacted."""
-    held = docs.sparkSession.sparkContext.broadcast(classifier)
+    held = shipped(docs.sparkSession, classifier)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = held.value, {}
+        model, memo = opened(held), {}
         for batch in batches:
             rows, texts = _possible(K.strings(batch.column(1)))
             got = [(r, s, redact(t, s)) for r, t in zip(rows, texts) if (s := found(t, model, memo))]
@@ -265,11 +266,11 @@ def spans(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text:
 
 def redacted(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
     """docs, all columns and rows, with the spans of the text column replaced by [KIND]."""
-    held = docs.sparkSession.sparkContext.broadcast(classifier)
+    held = shipped(docs.sparkSession, classifier)
     at = docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = held.value, {}
+        model, memo = opened(held), {}
         for batch in batches:
             rows, texts = _possible(K.strings(batch.column(at)))
             new = {int(r): redact(t, s) for r, t in zip(rows, texts) if (s := found(t, model, memo))}

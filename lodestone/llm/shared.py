@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ def mounted(spark: SparkSession) -> str:
     return rest
 
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """value for all executors, its classes with it, so they need no copy of the library. For values of a fixed size."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held: Broadcast):
+    return pickle.loads(held.value)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and survives lost executors."""
     spark, path = df.sparkSession, folder(df.sparkSession)
@@ -55,5 +66,10 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(gone, docs[key] == gone[name], "left_anti")
 
 
+def unused() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def text_of(docs: DataFrame, text: str) -> Column:
     return docs[text].cast("string")

@@ -3,6 +3,7 @@ texts, repeated rows, empty tables, clashing columns."""
 
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -164,6 +165,10 @@ def test_languages(spark):
     assert [r.rejected for r in rows] == [False, True, True, False, True, True, False, True] or rows[3].lang_found is not None
     assert rows[1].lang_found is None and rows[4].lang_found == "und" and rows[6].lang_found == "en"
     assert language.identified(table(spark, mixed), model=model).columns == table(spark, mixed).columns
+    clash = table(spark, mixed).withColumnRenamed("source", "spans").withColumnRenamed("rule", "rejected")
+    kept = language.identified(clash, model)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.rejected}
+    assert language.identify(clash, model, keep=["doc_id", "spans"]).columns[0] == "doc_id"
     assert language.identify(table(spark, []), model).count() == 0
     nothing = language.fit(table(spark, []))
     assert nothing.langs == []
@@ -353,6 +358,46 @@ def test_shuffle(spark, texts):
     assert sharding.shuffled(table(spark, [])).count() == 0
 
 
+def test_shuffle_is_uniform_and_spreads_copies(spark):
+    got = sharding.shuffled(table(spark, [*(f"text {k} " + "x" * 100 for k in range(3000)), *["copy " * 40] * 1000]).drop("doc_id"), bucket_bytes=60_000).collect()
+    count = Counter(r.shard for r in got)
+    mean = len(got) / len(count)
+    assert len(got) == 4000 and len(count) > 8
+    assert sum((n - mean) ** 2 / mean for n in count.values()) < 3 * len(count)  # chi-squared
+    copies = Counter(r.shard for r in got if r.text.startswith("copy"))
+    assert max(copies.values()) < 3 * 1000 / len(count)
+    place = [r.position / count[r.shard] for r in got if r.text.startswith("copy")]
+    assert 0.45 < sum(place) / len(place) < 0.55
+
+
+def test_shuffle_takes_any_column(spark):
+    rows = [(1, {"a": 1, "b": None}, [[1, 2], None], ("x", None), None), (1, {"b": None, "a": 1}, [[1, 2], None], ("x", None), None), (None, None, None, None, "t" * 300_000)]
+    df = spark.createDataFrame(rows, "_h1 int, h map<string,int>, g array<array<int>>, `a.b` struct<c0:string,c1:map<int,int>>, Shard string")
+    got = sharding.shuffled(df, bucket_bytes=1000)
+    assert got.columns == ["_h1", "h", "g", "a.b", "shard", "position"] and got.count() == 3
+    assert sorted(str(r["h"]) for r in got.collect())[0] == "None"
+
+
+def test_executors_need_no_copy_of_the_library(tmp_path):
+    """Workers that start in another folder, with nothing of the library on their path."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.executor.memory", "800m").config("spark.checkpoint.dir", "file://{tmp_path}/c").getOrCreate()
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from lodestone.llm import bpe, language, pii
+docs = spark.createDataFrame([(1, "mail jo.doe@mail3.example.com now", "en"), (2, "el gato duerme", "es")], "doc_id long, text string, lang string")
+print("GOT", language.identify(docs, language.fit(docs)).count(), pii.spans(docs, pii.fit(docs)).count(), bpe.decoded(bpe.encoded(docs, {VOCABULARY!r}), {VOCABULARY!r}, to="t").where("t = text").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "GOT 2 1 2" in got.stdout, got.stderr[-3000:]
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "a", "Where should we meet tomorrow evening?"),
@@ -441,6 +486,15 @@ def test_encoding_is_that_of_the_merge_loop(spark, encoder, texts):
     assert bpe.encoded(table(spark, []), VOCABULARY).count() == 0
 
 
+def test_decoding_refuses_what_is_no_id(spark):
+    v = bpe.Vocabulary(VOCABULARY)
+    good = spark.createDataFrame([([],), (None,), ([v.tokens.index(b"\xff")],)], "ids array<int>")
+    assert [r.text for r in bpe.decoded(good, v).collect()] == ["", None, "\ufffd"]
+    for bad in (-1, len(v.tokens), None):
+        with pytest.raises(Exception, match="vocabulary"):
+            bpe.decoded(spark.createDataFrame([([1, bad],)], "ids array<int>"), v).collect()
+
+
 def test_licenses(spark):
     rows = [
         (0, "p/LICENSE", licenses.TEMPLATES["MIT"][3]),
