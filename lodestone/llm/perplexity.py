@@ -1,219 +1,462 @@
 """An interpolated modified Kneser-Ney n-gram model and the perplexity of texts under it.
 
-Counting. Workers turn texts into word hashes and add up n-grams in memory; what they hand over are sorted,
-compressed blocks, scattered by the n-gram's context, so all successors of a context meet in one bucket. There the
-counts are added, the bucket's sorted arrays (n-gram keys with counts; contexts with their total and the numbers
-of successors seen once, twice and more) are written to the shared folder, and the distinct n-grams, without
-their first word, go on as continuation counts of the next lower order. Nothing is sampled or pruned.
+Words. A first pass counts words by their hashes and numbers them, common ones first, so n-grams travel as small
+numbers that compress well. The list of words lies in the shared folder and is memory-mapped.
 
-Scoring. Workers memory-map the arrays, look up the distinct n-grams of some megabytes of text in sorted order,
-and combine the orders: p_k = max(c - D(c), 0) / total + backoff * p_(k-1); below the unigrams lies 1 / (V + 1).
-D has three values, from the counts of counts of each order.
+Counting. Workers add up the n-grams of some millions of words in memory; what they hand over are sorted, compressed
+blocks, scattered by a hash of the whole n-gram, so no common word or context makes a task larger than others. A bucket
+adds its counts, writes them as a table, and hands two sums for each shorter n-gram on to the next lower order: of how
+many distinct n-grams it is the end (its continuation count), and for how many of which counts it is the context
+(their total, and the numbers of those seen once, twice and more). Both are sums over disjoint sets, so they add up
+wherever the n-grams lie. Nothing is sampled, pruned or clipped.
 
-A bucket holds about `bucket_words` words of the corpus; a context's successors are at most the vocabulary.
+Tables. Each bucket of an order is one file of sorted hash arrays: the n-grams by slot, of 32 on average, and within it
+by the low 32 bits of their hash, with counts and sums in a byte each where they are among the 255 commonest of the
+bucket, else in a list behind. Two n-grams of one bucket, slot and hash count as one: less than one in 10^8.
+
+Scoring. Workers memory-map the tables, `MAPS` at a time, look up the distinct n-grams of some megabytes of text in
+sorted order, and combine the orders: p_k = max(c - D(c), 0) / total + backoff * p_(k-1); below the unigrams lies
+1 / (V + 1). D has three values, from the counts of counts of each order. A missing file is an error.
+
+A bucket holds about `bucket_words` words of the corpus. The shared folder has to be mounted on all executors.
 
 Defined results: null and empty texts and those without words are not counted, and get n_tokens 0 and null
-log_prob and perplexity. Each text ends in one end token, which is counted and scored. Repeated rows count
-as often as they come. Words are told apart by 64-bit hashes.
+log_prob and perplexity. Each text ends in one end token, which is counted and scored; texts of any length are taken
+whole. Repeated rows count as often as they come. An empty table gives a model under which every word has the
+probability 1. The result has its own columns only, whatever the names of others.
 """
 
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .shared import mounted, written
+from .shared import mounted
 
 BEGIN, END = K.U(0x1B873593CC9E2D51), K.U(0x85EBCA6B27D4EB2F)
 G = K.U(0x9E3779B97F4A7C15)
 #: Rows that a counting worker gathers before it hands them over.
 HELD = 3_000_000
 SCORE_BYTES = 6 << 20
+#: Files that a scoring worker keeps mapped.
+MAPS = 256
+WORD_BUCKETS = 4096
+SLOT = 32
+BLOCK = "bucket int, kind int, n long, data binary"
+#: Sums of an n-gram: its count; and as a context the total and the numbers of successors seen once, twice and more.
+SUMS = 5
 
 
-def sequences(w: K.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of the texts with words, [tokens, order], and the bounds of each text."""
+def tokens(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the texts that have any, each text with an end token, and the bounds of each text."""
     count = np.diff(w.first)
     size = np.where(count > 0, count + 1, 0)
     first = np.concatenate([[0], np.cumsum(size)])
     token = np.empty(first[-1], K.U)
-    full = np.flatnonzero(size)
-    end = first[1:][full] - 1
-    token[end] = END
+    end = first[1:][size > 0] - 1
     rest = np.ones(len(token), dtype=bool)
     rest[end] = False
-    token[rest] = w.hash
-    at = np.arange(len(token)) - np.repeat(first[:-1], size)
-    out = np.empty((len(token), order), K.U)
-    out[:, -1] = token
-    for back in range(1, order):
-        column = out[:, order - 1 - back]
-        column[back:] = token[: len(token) - back]
-        column[at < back] = BEGIN
-    return out, first
-
-
-def context(grams: np.ndarray) -> np.ndarray:
-    """One hash of all words but the last."""
-    with np.errstate(over="ignore"):
-        out = K.mix(grams[:, 0] + G)
-        for k in range(1, grams.shape[1] - 1):
-            out = K.mix(out * G + grams[:, k])
+    token[end], token[rest] = END, w.hash
+    return token, first
+
+
+def ngrams(token: np.ndarray, first: np.ndarray, order: int, begin) -> list[np.ndarray]:
+    """The n-gram that ends at each token, as one array for each place; `begin` fills the places before a text."""
+    at = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
+    out = []
+    for back in range(order - 1, -1, -1):
+        column = np.empty_like(token)
+        column[back:] = token[: len(token) - back] if back else token
+        column[at < back] = begin
+        out.append(column)
     return out
 
 
-def keys(grams: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """Sorts by the context's hash first: 24 bits of it, then 40 bits of the whole n-gram's."""
+def hashed(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of each n-gram of word hashes."""
     with np.errstate(over="ignore"):
-        return (ctx & K.U(0xFFFFFF0000000000)) | (K.mix(ctx * G + grams[:, -1]) >> K.U(24))
+        out = K.mix(words[0] + G)
+        for w in words[1:]:
+            out = K.mix(out * G + w)
+    return out
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (((h >> K.U(40)) * K.U(buckets)) >> K.U(24)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def runs(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a new row starts in sorted rows."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def added(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct rows in order with their summed values."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    at = runs(columns)
+    return [c[at] for c in columns], [np.add.reduceat(s[order], at) if len(at) else s for s in sums]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, as far as there are any: like bytes lie together."""
+    top = int(x.max()) if len(x) else 0
+    wide = max(1, (top.bit_length() + 7) // 8)
+    return bytes([wide]) + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :wide].T).tobytes()
 
 
-def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> K.U(40)) * K.U(buckets)) >> K.U(24)
+def _unplane(raw: memoryview, n: int, at: int, kind) -> tuple[np.ndarray, int]:
+    wide = raw[at]
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :wide] = np.frombuffer(raw, np.uint8, wide * n, at + 1).reshape(wide, n).T
+    return out.reshape(-1).view(kind), at + 1 + wide * n
 
 
-def added(grams: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams in the order of their keys: keys, n-grams, summed counts."""
-    key = keys(grams, context(grams)) if grams.shape[1] > 1 else K.mix(grams[:, 0] + G)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    return key[new], grams[order[new]], np.add.reduceat(count[order], new) if len(new) else count[:0]
+def packed(columns: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
+    """Rows in order as one compressed block: the first column as steps."""
+    step = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    data = b"".join([_planes(step), *map(_planes, columns[1:]), *(_planes(s.astype(K.U)) for s in sums)])
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _blocks(grams: np.ndarray, count: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    key, grams, count = added(grams, count)
-    bucket = bucket_of(key, buckets)
-    cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=K.U))
+def unpacked(data: bytes, n: int, columns: int, sums: int, kind) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    raw, at, out = memoryview(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)), 0, []
+    for k in range(columns + sums):
+        x, at = _unplane(raw, n, at, kind if k < columns else K.U)
+        out.append(x if k or not columns else np.cumsum(x, dtype=kind))
+    return out[:columns], [s.astype(np.int64) for s in out[columns:]]
+
+
+def _row(bucket: int, kind: int, n: int, data: bytes = b"") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["bucket", "kind", "n", "data"])
+
+
+def _blocks(columns, sums, words, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as blocks by the bucket of their hash. words: the hash of each numbered word."""
+    bucket = bucket_of(hashed([words[c] for c in columns]), buckets)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)):
-        own = slice(cut[b], cut[b + 1])
-        n = cut[b + 1] - cut[b]
-        data = b"".join([*(np.ascontiguousarray(grams[own, k]).tobytes() for k in range(grams.shape[1])), count[own].astype(np.uint32).tobytes()])
-        packed = pa.compress(data, codec="zstd", asbytes=True)
-        yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([int(n)], pa.int64()), pa.array([packed], pa.binary())], ["bucket", "n", "data"])
+        own = order[cut[b] : cut[b + 1]]
+        yield _row(int(b), 0, len(own), packed([c[own] for c in columns], [s[own] for s in sums]))
 
 
-def _unpack(batches: Iterator[pa.RecordBatch], order: int) -> tuple[int, np.ndarray, np.ndarray]:
-    bucket, grams, counts = -1, [], []
+def _gathered(batches: Iterator[pa.RecordBatch], columns: int, sums: int, kind, out: list) -> Iterator[pa.RecordBatch]:
+    """Puts (bucket, columns, sums) of all blocks into `out` and passes other rows on."""
+    parts, bucket = [], -1
     for batch in batches:
-        for b, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = pa.decompress(data, n * (8 * order + 4), codec="zstd", asbytes=True)
-            bucket = b
-            grams.append(np.frombuffer(raw, K.U, n * order).reshape(order, n).T)
-            counts.append(np.frombuffer(raw, np.uint32, n, 8 * n * order).astype(np.int64))
-    return bucket, np.concatenate(grams) if grams else np.zeros((0, order), K.U), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        for b, k, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if k:
+                yield _row(b, k, n)
+            else:
+                bucket = b
+                parts.append(unpacked(data, n, columns, sums, kind))
+    if parts:
+        out += [bucket, [np.concatenate(x) for x in zip(*(p[0] for p in parts))], [np.concatenate(x) for x in zip(*(p[1] for p in parts))]]
+
+
+def _replace(path: str, *parts: np.ndarray) -> None:
+    """One file of all arrays; a repeated task writes the same again."""
+    new = f"{path}.{os.getpid()}"
+    with open(new, "wb") as f:
+        for a in parts:
+            f.write(np.ascontiguousarray(a).data if len(a) else b"")
+            f.write(b"\0" * (-a.nbytes % 8))
+    os.replace(new, path)
 
 
-def _count(order: int, buckets: int):
+# the list of words
+
+
+def _count_words(buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = [(np.array([BEGIN, END]), np.full(2, 1 << 32))], 0  # these come first
+
+        def hand() -> Iterator[pa.RecordBatch]:
+            (words,), (n,) = added(*([np.concatenate(x)] for x in zip(*held)))
+            cut = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cut)):
+                yield _row(int(b), 0, int(cut[b + 1] - cut[b]), packed([words[cut[b] : cut[b + 1]]], [n[cut[b] : cut[b + 1]]]))
+
         for batch in batches:
             texts = K.strings(batch.column(0))
             for lo, hi in K.chunks(texts):
-                held.append(sequences(K.Words(texts[lo:hi]), order)[0])
-                size += len(held[-1])
+                held.append(np.unique(K.Words(texts[lo:hi]).hash, return_counts=True))
+                size += len(held[-1][0])
                 if size > HELD:
-                    grams = np.concatenate(held)
+                    yield from hand()
                     held, size = [], 0
-                    yield from _blocks(grams, np.ones(len(grams), np.int64), buckets)
-        if size:
-            grams = np.concatenate(held)
-            yield from _blocks(grams, np.ones(len(grams), np.int64), buckets)
+        if held:
+            yield from hand()
 
     return count
 
 
-def _save(path: str, **arrays: np.ndarray) -> None:
-    for name, a in arrays.items():
-        new = f"{path}.{name}.{os.getpid()}"
-        a.tofile(new)
-        os.replace(new, f"{path}.{name}")  # a repeated task writes the same again
+def _merge_words(folder: str):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list = []
+        yield from _gathered(batches, 1, 1, K.U, got)
+        if got:
+            (words,), (n,) = added(got[1], got[2])
+            _replace(f"{folder}/words-{got[0]}", words, n)
+            level = np.log2(n).astype(int)
+            for k in np.unique(level):
+                yield _row(got[0], 1 + int(k), int((level == k).sum()))
 
+    return merge
+
+
+def _number_words(folder: str, start: dict[int, int], number: dict[tuple[int, int], int], kind):
+    """Writes a bucket's words, their numbers, and the words by number, each at its place in one file of all."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                if b not in start:
+                    continue
+                raw = np.fromfile(f"{folder}/words-{b}", np.int64).reshape(2, -1)
+                words, level = raw[0].view(K.U), np.log2(raw[1]).astype(int)
+                ids = np.empty(len(words), kind)
+                files = {name: os.open(f"{folder}/{name}", os.O_RDWR | os.O_CREAT) for name in ("word", "number", "by-number")}
+                for k in np.unique(level):
+                    own = np.flatnonzero(level == k)
+                    at = number[b, int(k)]
+                    ids[own] = np.arange(at, at + len(own))
+                    os.pwrite(files["by-number"], words[own].tobytes(), 8 * at)
+                os.pwrite(files["word"], words.tobytes(), 8 * start[b])
+                os.pwrite(files["number"], ids.tobytes(), ids.itemsize * start[b])
+                for f in files.values():
+                    os.close(f)
+            yield batch
+
+    return write
+
+
+class Numbers:
+    """The number of each word of the corpus."""
+
+    def __init__(self, folder: str, kind: str):
+        self.folder, self.kind = folder, kind
+
+    def open(self) -> Numbers:
+        self.word, self.number, self.words = (np.memmap(f"{self.folder}/{name}", kind, "r") for name, kind in (("word", K.U), ("number", self.kind), ("by-number", K.U)))
+        return self
+
+    def of(self, token: np.ndarray) -> np.ndarray:
+        some, back = np.unique(token, return_inverse=True)
+        return np.asarray(self.number[np.searchsorted(self.word, some)])[back]
+
+
+def numbered(rows: DataFrame, folder: str, buckets: int) -> Numbers:
+    """Counts the words of all texts and numbers them by the size of their count."""
+    spark, buckets = rows.sparkSession, min(WORD_BUCKETS, buckets // 16 + 1)
+    found = rows.mapInArrow(_count_words(buckets), BLOCK).repartitionById(buckets, F.col("bucket")).mapInArrow(_merge_words(folder), BLOCK)
+    have = found.select("bucket", "kind", "n").collect()  # 64 sizes of at most WORD_BUCKETS buckets
+    size: dict[int, int] = {}
+    for r in have:
+        size[r.bucket] = size.get(r.bucket, 0) + r.n
+    start, at = {}, 0
+    for b in sorted(size):
+        start[b], at = at, at + size[b]
+    kind = "uint32" if at < 1 << 32 else "uint64"
+    number, at = {}, 0
+    for r in sorted(have, key=lambda r: (-r.kind, r.bucket)):
+        number[r.bucket, r.kind - 1], at = at, at + r.n
+    spark.range(0, buckets, 1, buckets).mapInArrow(_number_words(folder, start, number, kind), "id long").count()
+    if not have:
+        for name in ("word", "number", "by-number"):
+            open(f"{folder}/{name}", "wb").write(b"\0" * 8)
+    return Numbers(folder, kind)
+
+
+# the tables
+
+
+def _bytes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """values [n, columns] as one byte a row: the rows it stands for, the bytes, and which rows don't fit with their values."""
+    one = values.astype(K.U)
+    with np.errstate(over="ignore"):
+        key = one[:, 0].copy()
+        for k in range(1, one.shape[1]):
+            key = K.mix(key * G) + one[:, k]
+    some, at, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-count, kind="stable")[:255]
+    code = np.full(len(some), 255, np.uint8)
+    code[common] = np.arange(len(common))
+    byte = code[back]
+    rest = np.flatnonzero(byte == 255)
+    return one[at[common]], byte, rest, one[rest]
+
+
+class Table:
+    """The n-grams of one bucket with their sums, mapped."""
+
+    @staticmethod
+    def write(path: str, h: np.ndarray, values: np.ndarray) -> None:
+        slots = max(1, len(h) // SLOT)
+        slot, low = Table.place(h, slots)
+        order = np.lexsort((low, slot))
+        stand, byte, rest, more = _bytes_of(values[order])
+        head = np.array([len(h), slots, len(stand), len(rest), values.shape[1]], np.int64)
+        _replace(path, head, np.searchsorted(slot[order], np.arange(slots + 1)).astype(np.uint32), low[order], byte, stand, rest.astype(np.int64), more)
+
+    @staticmethod
+    def place(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            x = K.mix(h ^ K.U(0xA0761D6478BD642F))
+        return ((x >> K.U(32)) * K.U(slots)) >> K.U(32), x.astype(np.uint32)
+
+    def __init__(self, path: str):
+        raw = np.memmap(path, np.uint8, "r")
+        n, self.slots, k, m, width = raw[:40].view(np.int64).tolist()
+        at, parts = 40, []
+        for count, kind in ((self.slots + 1, np.uint32), (n, np.uint32), (n, np.uint8), (k * width, K.U), (m, np.int64), (m * width, K.U)):
+            size = count * np.dtype(kind).itemsize
+            parts.append(raw[at : at + size].view(kind))
+            at += size + -size % 8
+        self.first, self.low, self.byte, stand, self.rest, more = parts
+        self.stand, self.more = np.concatenate([stand.reshape(k, width), np.zeros((1, width), K.U)]), more.reshape(m, width)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """[len(h), columns]; 0 where there is none."""
+        slot, want = self.place(h, self.slots)
+        lo = self.first[slot.astype(np.int64)].astype(np.int64)
+        end = self.first[slot.astype(np.int64) + 1].astype(np.int64)
+        hi = end.copy()
+        while True:
+            live = np.flatnonzero(lo < hi)
+            if not len(live):
+                break
+            mid = (lo[live] + hi[live]) // 2
+            less = self.low[mid] < want[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+        out = np.zeros((len(h), self.stand.shape[1]))
+        hit = np.flatnonzero(lo < end)
+        hit = hit[self.low[lo[hit]] == want[hit]]
+        byte = self.byte[lo[hit]]
+        values = self.stand[np.minimum(byte, len(self.stand) - 1)]
+        rare = np.flatnonzero(byte == 255)
+        values[rare] = self.more[np.searchsorted(self.rest, lo[hit[rare]])]
+        out[hit] = values
+        return out
+
+
+def _count(order: int, buckets: int, numbers: Numbers):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, own = [], 0, None
 
-def _merge(order: int, folder: str, buckets: int):
-    """One bucket of an order: writes its arrays; hands over the next order's blocks and the counts of counts."""
+        def hand() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            yield from _blocks(*added(columns, [np.ones(len(columns[0]), np.int64)]), own.words, buckets)
+
+        for batch in batches:
+            texts = K.strings(batch.column(0))
+            for lo, hi in K.chunks(texts):
+                own = own or numbers.open()
+                token, first = tokens(K.Words(texts[lo:hi]))
+                held.append(ngrams(own.of(token), first, order, own.of(np.array([BEGIN]))[0]))
+                size += len(token)
+                if size > HELD:
+                    yield from hand()
+                    held, size = [], 0
+        if size:
+            yield from hand()
+
+    return count
+
+
+def _merge(k: int, order: int, folder: str, buckets: int, numbers: Numbers):
+    """One bucket of order k: writes its table; hands over the sums of the next order and the counts of counts."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, grams, count = _unpack(batches, order)
-        if bucket < 0:
+        got: list = []
+        width = 1 if k == order else SUMS
+        yield from _gathered(batches, k, width, numbers.kind, got)
+        if not got:
+            Table.write(f"{folder}/{k}-{TaskContext.get().partitionId()}", np.zeros(0, K.U), np.zeros((0, width), np.int64))
             return
-        key, grams, count = added(grams, count)
-        path = f"{folder}/{order}-{bucket}"
-        if order > 1:
-            ctx = context(grams)
-            where, back = np.unique(ctx, return_inverse=True)
-            stat = np.stack([np.bincount(back, weights=w, minlength=len(where)) for w in (count, count == 1, count == 2, count > 2)], axis=1)
-            _save(path, key=key, count=np.minimum(count, 2**32 - 1).astype(np.uint32), ctx=where, stat=stat)
-        else:
-            _save(path, key=key, count=count.astype(np.float64))
-        tell = [(-1 - k, int((count == k).sum())) for k in range(1, 5)] + [(-6, len(count)), (-7, int(count.sum()))]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in tell], pa.int32()), pa.array([b for _, b in tell], pa.int64()), pa.array([b""] * len(tell), pa.binary())], ["bucket", "n", "data"])
-        if order > 1:
-            yield from _blocks(grams[:, 1:], np.ones(len(grams), np.int64), buckets)
+        words = numbers.open().words
+        bucket, columns, sums = got
+        columns, sums = added(columns, sums)
+        Table.write(f"{folder}/{k}-{bucket}", hashed([words[c] for c in columns]), np.stack(sums, axis=1))
+        count = sums[0]
+        real = np.flatnonzero(count > 0)  # others are only contexts
+        count = count[real]
+        for j, n in enumerate([*((count == i).sum() for i in range(1, 5)), len(count), count.sum()]):
+            yield _row(bucket, 100 * k + j, int(n))
+        if k > 1:
+            tail = added([c[real] for c in columns[1:]], [np.ones(len(real), np.int64)])
+            head = added([c[real] for c in columns[:-1]], [count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)])
+            none = [np.zeros(len(tail[1][0]), np.int64)] * (SUMS - 1)
+            rows = added([np.concatenate(x) for x in zip(tail[0], head[0])], [np.concatenate(x) for x in zip([*tail[1], *none], [np.zeros(len(head[1][0]), np.int64), *head[1]])])
+            yield from _blocks(*rows, words, buckets)
 
     return merge
 
 
 class Model:
-    """Where the arrays are, and the discounts and sizes of each order."""
+    """Where the tables are, and the discounts and sizes of each order."""
 
-    def __init__(self, folder: str, order: int, buckets: int, facts: dict[int, dict[int, int]]):
+    def __init__(self, folder: str, order: int, buckets: int, facts: dict[int, list[int]]):
         self.folder, self.order, self.buckets = folder, order, buckets
-        self.discount = {k: discounts([f.get(-1 - i, 0) for i in range(1, 5)]) for k, f in facts.items()}
-        self.types = {k: f.get(-6, 0) for k, f in facts.items()}
-        self.tokens = {k: f.get(-7, 0) for k, f in facts.items()}
-        one = facts[1]
-        n = [one.get(-1 - i, 0) for i in range(1, 3)]
-        self.base = float(self.discount[1] @ np.array([0, n[0], n[1], max(one.get(-6, 0) - sum(n), 0)])) / max(self.tokens[1], 1)
-        self.maps: dict = {}
+        self.discount = {k: discounts(f[:4]) for k, f in facts.items()}
+        self.types = {k: f[4] for k, f in facts.items()}
+        self.tokens = {k: f[5] for k, f in facts.items()}
+        n = facts[1]
+        self.base = float(self.discount[1] @ np.array([0, n[0], n[1], n[4] - n[0] - n[1]])) / max(n[5], 1)
+        self.maps: OrderedDict = OrderedDict()
 
     def __getstate__(self):
-        return self.__dict__ | {"maps": {}}
-
-    def array(self, order: int, bucket: int, name: str, kind) -> np.ndarray:
-        path = f"{self.folder}/{order}-{bucket}.{name}"
-        if path not in self.maps:
-            self.maps[path] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-        return self.maps[path]
-
-    def _find(self, order: int, key: np.ndarray, names: tuple[str, str], kind, width: int = 1) -> np.ndarray:
-        """The values of sorted distinct keys; 0 where there is none."""
-        out = np.zeros((len(key), width))
-        cut = np.searchsorted(bucket_of(key, self.buckets), np.arange(self.buckets + 1, dtype=K.U))
-        for b in np.flatnonzero(np.diff(cut)):
-            have = self.array(order, b, names[0], K.U)
-            if not len(have):
-                continue
-            own = key[cut[b] : cut[b + 1]]
-            at = np.minimum(np.searchsorted(have, own), len(have) - 1)
-            hit = np.flatnonzero(have[at] == own)
-            out[cut[b] + hit] = self.array(order, b, names[1], kind).reshape(-1, width)[at[hit]]
-        return out
-
-    def log_probs(self, grams: np.ndarray) -> np.ndarray:
-        """Natural logarithms, one for each n-gram of the full order."""
-        word, back = np.unique(K.mix(grams[:, -1] + G), return_inverse=True)
-        a = self._find(1, word, ("key", "count"), np.float64)[:, 0]
-        low = np.maximum(a - self.discount[1][np.minimum(a, 3).astype(int)], 0) / max(self.tokens[1], 1) + self.base / (self.types[1] + 1)
-        p = low[back]
-        for k in range(2, self.order + 1):
-            part = grams[:, self.order - k :]
-            ctx = context(part)
-            key, back = np.unique(keys(part, ctx), return_inverse=True)
-            c = self._find(k, key, ("key", "count"), np.uint32)[:, 0]
-            c = np.maximum(c - self.discount[k][np.minimum(c, 3).astype(int)], 0)[back]
-            where, back = np.unique(ctx, return_inverse=True)
-            stat = self._find(k, where, ("ctx", "stat"), np.float64, 4)
-            total = np.maximum(stat[:, 0], 1)
-            gamma = np.where(stat[:, 0] > 0, stat[:, 1:] @ self.discount[k][1:] / total, 1.0)
-            p = c / total[back] + gamma[back] * p
+        return self.__dict__ | {"maps": OrderedDict()}
+
+    def table(self, k: int, bucket: int) -> Table:
+        if (k, bucket) not in self.maps:
+            self.maps[k, bucket] = Table(f"{self.folder}/{k}-{bucket}")
+            if len(self.maps) > MAPS:
+                self.maps.popitem(last=False)
+        self.maps.move_to_end((k, bucket))
+        return self.maps[k, bucket]
+
+    def find(self, k: int, h: np.ndarray) -> np.ndarray:
+        """The sums of any hashes."""
+        some, back = np.unique(h, return_inverse=True)
+        out = np.zeros((len(some), 1 if k == self.order else SUMS))
+        cut = np.searchsorted(bucket_of(some, self.buckets), np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)) if self.tokens[self.order] else ():
+            out[cut[b] : cut[b + 1]] = self.table(k, int(b)).find(some[cut[b] : cut[b + 1]])
+        return out[back]
+
+    def log_probs(self, words: list[np.ndarray]) -> np.ndarray:
+        """Natural logarithms, one for each n-gram of word hashes of the full order."""
+        n, p = len(words[0]), None
+        for k in range(1, self.order + 1):
+            gram = hashed(words[self.order - k :])
+            if k < self.order:  # as contexts of the next order they are looked up along
+                low = self.find(k, np.concatenate([gram, hashed(words[self.order - k - 1 : -1])]))
+                c, context = low[:n, 0], low[n:, 1:]
+            else:
+                c, context = self.find(k, gram)[:, 0], None
+            c = np.maximum(c - self.discount[k][np.minimum(c, 3).astype(int)], 0)
+            if k == 1:
+                p = c / max(self.tokens[1], 1) + (self.base / (self.types[1] + 1) if self.tokens[1] else 1.0)
+            else:
+                total = np.maximum(stat[:, 0], 1)
+                p = c / total + np.where(stat[:, 0] > 0, stat[:, 1:] @ self.discount[k][1:] / total, 1.0) * p
+            stat = context
         return np.log(p)
 
 
@@ -235,14 +478,12 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3, bucket_words: int =
     rows = docs.select(docs[text].cast("string").alias("t")).where("t <> ''")
     size = rows.agg(F.sum(F.octet_length("t").cast("long"))).head()[0] or 0
     buckets = max(1, int(size // (6 * bucket_words)) + 1)
-    schema = "bucket int, n long, data binary"
-    blocks = rows.mapInArrow(_count(order, buckets), schema)
-    facts = {}
+    numbers = numbered(rows, folder, buckets)
+    blocks = rows.mapInArrow(_count(order, buckets, numbers), BLOCK)
     for k in range(order, 0, -1):
-        out = written(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_merge(k, folder, buckets), schema))
-        facts[k] = {r.bucket: r.n for r in out.where("bucket < 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-        blocks = out.where("bucket >= 0")
-    return Model(folder, order, buckets, facts)
+        blocks = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_merge(k, order, folder, buckets, numbers), BLOCK)
+    got = {r.kind: r.n for r in blocks.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    return Model(folder, order, buckets, {k: [got.get(100 * k + j, 0) for j in range(6)] for k in range(1, order + 1)})
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,8 +493,8 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         for batch in batches:
             texts = K.strings(batch.column(1))
             for lo, hi in K.chunks(texts, SCORE_BYTES):
-                grams, first = sequences(K.Words(texts[lo:hi]), model.order)
-                total = K.by_row(model.log_probs(grams) if len(grams) else np.zeros(0), first, np.add)
+                token, first = tokens(K.Words(texts[lo:hi]))
+                total = K.by_row(model.log_probs(ngrams(token, first, model.order, BEGIN)) if len(token) else np.zeros(0), first, np.add)
                 n = np.diff(first)
                 none = n == 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(total, mask=none), pa.array(np.exp(-total / np.maximum(n, 1)), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])

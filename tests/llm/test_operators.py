@@ -376,7 +376,7 @@ def kneser_ney(texts, order):
     return p
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 5])
 def test_perplexity_is_that_of_plain_counts(spark, texts, order):
     texts = texts[:30] + [None, "", "!!", "unseen words here"]
     fitted = texts[:-1]
@@ -393,6 +393,30 @@ def test_perplexity_is_that_of_plain_counts(spark, texts, order):
         assert r.log_prob == pytest.approx(want, rel=1e-6)
 
 
+def test_tables_hold_any_count(tmp_path):
+    rng = np.random.default_rng(15)
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    values = np.stack([rng.integers(0, 1 << 50, 5000), rng.integers(0, 2, 5000)], axis=1)
+    values[:3000, 0] = 1
+    perplexity.Table.write(str(tmp_path / "t"), h, values)
+    table = perplexity.Table(str(tmp_path / "t"))
+    assert (table.find(h) == values).all() and not table.find(h + np.uint64(1 << 63)).any()
+    columns, sums = [np.sort(rng.integers(0, 99, 50).astype(np.uint32)), rng.integers(0, 1 << 31, 50).astype(np.uint32)], [rng.integers(0, 1 << 60, 50)]
+    a, b = perplexity.unpacked(perplexity.packed(columns, sums), 50, 2, 1, "uint32")
+    assert all((x == y).all() for x, y in zip([*a, *b], [*columns, *sums]))
+
+
+def test_perplexity_of_nothing_and_of_a_broken_model(spark, texts):
+    none = perplexity.fit(table(spark, []))
+    assert [r.log_prob for r in perplexity.scored(table(spark, ["a b", None]), none).orderBy("doc_id").collect()] == [0, None]
+    assert perplexity.scored(table(spark, []), none).count() == 0
+    model = perplexity.fit(table(spark, texts[:3]))
+    assert all(math.isfinite(r.log_prob) for r in perplexity.scored(table(spark, [texts[0], "漢字 unseen"]), model).collect())
+    os.remove(f"{model.folder}/2-0")
+    with pytest.raises(Exception, match="2-0"):
+        perplexity.scored(table(spark, texts[:3]), model).collect()
+
+
 def test_perplexity_registered_sees_more_than_one_word_back(spark, tmp_path):
     """Two texts of the same bigrams; only the corpus's trigrams tell the real one from the salad."""
     corpus = [f"{x} sees {y}" for x, y in (("ann", "bob"), ("cid", "dora"))] * 20
