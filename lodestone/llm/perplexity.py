@@ -12,7 +12,7 @@ wherever the n-grams lie. Nothing is sampled, pruned or clipped.
 
 Tables. Each bucket of an order is one file of sorted hash arrays: the n-grams by slot, of 32 on average, and within it
 by the low 32 bits of their hash, with counts and sums in a byte each where they are among the 255 commonest of the
-bucket, else in a list behind. Two n-grams of one bucket, slot and hash count as one: less than one in 10^8.
+bucket, else in a list behind. Two n-grams of one bucket, slot and hash count as one: about one in 10^8.
 
 Scoring. Workers memory-map the tables, `MAPS` at a time, look up the distinct n-grams of some megabytes of text in
 sorted order, and combine the orders: p_k = max(c - D(c), 0) / total + backoff * p_(k-1); below the unigrams lies
@@ -45,8 +45,8 @@ from .shared import mounted
 BEGIN, END = K.U(0x1B873593CC9E2D51), K.U(0x85EBCA6B27D4EB2F)
 G = K.U(0x9E3779B97F4A7C15)
 #: Rows that a counting worker gathers before it hands them over.
-HELD = 3_000_000
-SCORE_BYTES = 6 << 20
+HELD = 2_500_000
+SCORE_BYTES = 4 << 20
 #: Files that a scoring worker keeps mapped.
 MAPS = 256
 WORD_BUCKETS = 4096
@@ -90,25 +90,40 @@ def hashed(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def place(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Where in all buckets a hash lies, with 40 bits of its place in its own; in the order of the hashes."""
+    return (h >> K.U(24)) * K.U(buckets)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (((h >> K.U(40)) * K.U(buckets)) >> K.U(24)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    return (place(h, buckets) >> K.U(40)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
 
-def runs(columns: list[np.ndarray]) -> np.ndarray:
-    """Where a new row starts in sorted rows."""
-    new = np.zeros(len(columns[0]), dtype=bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
+def joined(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns as few 64-bit numbers in the same order."""
+    bits = max(max((int(c.max()) for c in columns if len(c)), default=0).bit_length(), 1)
+    out = []
+    for k in range(0, len(columns), per := 64 // bits):
+        key = columns[k].astype(K.U)
+        for c in columns[k + 1 : k + per]:
+            key = key << K.U(bits) | c.astype(K.U)
+        out.append(key)
+    return out
 
 
-def added(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The distinct rows in order with their summed values."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    at = runs(columns)
-    return [c[at] for c in columns], [np.add.reduceat(s[order], at) if len(at) else s for s in sums]
+def added(columns: list[np.ndarray], sums: list[np.ndarray] | None = None, ordered: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct rows in order with their summed values, or with how often they come."""
+    keys = joined(columns)
+    order = slice(None) if ordered else np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    first = at if ordered else order[at]
+    total = [np.diff(at, append=len(new))] if sums is None else [np.add.reduceat(s[order], at) if len(at) else s for s in sums]
+    return [c[first] for c in columns], total
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -144,26 +159,29 @@ def _row(bucket: int, kind: int, n: int, data: bytes = b"") -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["bucket", "kind", "n", "data"])
 
 
-def _blocks(columns, sums, words, buckets: int) -> Iterator[pa.RecordBatch]:
+def _blocks(columns, sums, words, buckets: int, width: int = 1) -> Iterator[pa.RecordBatch]:
     """Sorted rows as blocks by the bucket of their hash. words: the hash of each numbered word."""
     bucket = bucket_of(hashed([words[c] for c in columns]), buckets)
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)):
         own = order[cut[b] : cut[b + 1]]
-        yield _row(int(b), 0, len(own), packed([c[own] for c in columns], [s[own] for s in sums]))
+        yield _row(int(b), -width, len(own), packed([c[own] for c in columns], [s[own] for s in sums]))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], columns: int, sums: int, kind, out: list) -> Iterator[pa.RecordBatch]:
-    """Puts (bucket, columns, sums) of all blocks into `out` and passes other rows on."""
+    """Puts (bucket, columns, sums) of all blocks into `out` and passes other rows on. Of more than one sum, a block
+    has the first or the others."""
     parts, bucket = [], -1
     for batch in batches:
         for b, k, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if k:
+            if k > 0:
                 yield _row(b, k, n)
             else:
                 bucket = b
-                parts.append(unpacked(data, n, columns, sums, kind))
+                own, more = unpacked(data, n, columns, -k, kind)
+                none = np.zeros(n, np.int64)
+                parts.append((own, more if -k == sums else [*more, *[none] * (sums - 1)] if k == -1 else [none, *more]))
     if parts:
         out += [bucket, [np.concatenate(x) for x in zip(*(p[0] for p in parts))], [np.concatenate(x) for x in zip(*(p[1] for p in parts))]]
 
@@ -189,7 +207,7 @@ def _count_words(buckets: int):
             (words,), (n,) = added(*([np.concatenate(x)] for x in zip(*held)))
             cut = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
-                yield _row(int(b), 0, int(cut[b + 1] - cut[b]), packed([words[cut[b] : cut[b + 1]]], [n[cut[b] : cut[b + 1]]]))
+                yield _row(int(b), -1, int(cut[b + 1] - cut[b]), packed([words[cut[b] : cut[b + 1]]], [n[cut[b] : cut[b + 1]]]))
 
         for batch in batches:
             texts = K.strings(batch.column(0))
@@ -288,6 +306,10 @@ def numbered(rows: DataFrame, folder: str, buckets: int) -> Numbers:
 def _bytes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """values [n, columns] as one byte a row: the rows it stands for, the bytes, and which rows don't fit with their values."""
     one = values.astype(K.U)
+    if one.shape[1] == 1:
+        byte = np.minimum(one[:, 0], 255).astype(np.uint8)
+        rest = np.flatnonzero(byte == 255)
+        return np.arange(255, dtype=K.U)[:, None], byte, rest, one[rest]
     with np.errstate(over="ignore"):
         key = one[:, 0].copy()
         for k in range(1, one.shape[1]):
@@ -305,19 +327,19 @@ class Table:
     """The n-grams of one bucket with their sums, mapped."""
 
     @staticmethod
-    def write(path: str, h: np.ndarray, values: np.ndarray) -> None:
+    def write(path: str, h: np.ndarray, values: np.ndarray, buckets: int = 1) -> None:
         slots = max(1, len(h) // SLOT)
-        slot, low = Table.place(h, slots)
-        order = np.lexsort((low, slot))
+        slot = Table.slot(h, slots, buckets)
+        order = np.argsort(slot << K.U(32) | h.astype(np.uint32))
         stand, byte, rest, more = _bytes_of(values[order])
         head = np.array([len(h), slots, len(stand), len(rest), values.shape[1]], np.int64)
-        _replace(path, head, np.searchsorted(slot[order], np.arange(slots + 1)).astype(np.uint32), low[order], byte, stand, rest.astype(np.int64), more)
+        first = np.concatenate([[0], np.cumsum(np.bincount(slot.astype(np.int64), minlength=slots))])
+        _replace(path, head, first.astype(np.uint32), h.astype(np.uint32)[order], byte, stand, rest.astype(np.int64), more)
 
     @staticmethod
-    def place(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            x = K.mix(h ^ K.U(0xA0761D6478BD642F))
-        return ((x >> K.U(32)) * K.U(slots)) >> K.U(32), x.astype(np.uint32)
+    def slot(h: np.ndarray, slots: int, buckets: int) -> np.ndarray:
+        """In the order of the hashes, so hashes in order are looked up along the file."""
+        return (((place(h, buckets) & K.U((1 << 40) - 1)) >> K.U(8)) * K.U(slots)) >> K.U(32)
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
@@ -330,20 +352,15 @@ class Table:
         self.first, self.low, self.byte, stand, self.rest, more = parts
         self.stand, self.more = np.concatenate([stand.reshape(k, width), np.zeros((1, width), K.U)]), more.reshape(m, width)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, buckets: int = 1) -> np.ndarray:
         """[len(h), columns]; 0 where there is none."""
-        slot, want = self.place(h, self.slots)
-        lo = self.first[slot.astype(np.int64)].astype(np.int64)
-        end = self.first[slot.astype(np.int64) + 1].astype(np.int64)
-        hi = end.copy()
-        while True:
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                break
-            mid = (lo[live] + hi[live]) // 2
-            less = self.low[mid] < want[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
+        slot, want = self.slot(h, self.slots, buckets).astype(np.int64), h.astype(np.uint32)
+        lo, end = self.first[slot].astype(np.int64), self.first[slot + 1].astype(np.int64)
+        size = end - lo
+        for step in (1 << k for k in reversed(range(int(size.max(initial=0)).bit_length()))):  # skips what is smaller
+            on = lo + (step - 1)
+            skip = (on < end) & (self.low[np.minimum(on, len(self.low) - 1)] < want)
+            lo += step * skip
         out = np.zeros((len(h), self.stand.shape[1]))
         hit = np.flatnonzero(lo < end)
         hit = hit[self.low[lo[hit]] == want[hit]]
@@ -361,7 +378,7 @@ def _count(order: int, buckets: int, numbers: Numbers):
 
         def hand() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held)]
-            yield from _blocks(*added(columns, [np.ones(len(columns[0]), np.int64)]), own.words, buckets)
+            yield from _blocks(*added(columns), own.words, buckets)
 
         for batch in batches:
             texts = K.strings(batch.column(0))
@@ -392,18 +409,17 @@ def _merge(k: int, order: int, folder: str, buckets: int, numbers: Numbers):
         words = numbers.open().words
         bucket, columns, sums = got
         columns, sums = added(columns, sums)
-        Table.write(f"{folder}/{k}-{bucket}", hashed([words[c] for c in columns]), np.stack(sums, axis=1))
+        Table.write(f"{folder}/{k}-{bucket}", hashed([words[c] for c in columns]), np.stack(sums, axis=1), buckets)
         count = sums[0]
         real = np.flatnonzero(count > 0)  # others are only contexts
         count = count[real]
         for j, n in enumerate([*((count == i).sum() for i in range(1, 5)), len(count), count.sum()]):
             yield _row(bucket, 100 * k + j, int(n))
         if k > 1:
-            tail = added([c[real] for c in columns[1:]], [np.ones(len(real), np.int64)])
-            head = added([c[real] for c in columns[:-1]], [count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)])
-            none = [np.zeros(len(tail[1][0]), np.int64)] * (SUMS - 1)
-            rows = added([np.concatenate(x) for x in zip(tail[0], head[0])], [np.concatenate(x) for x in zip([*tail[1], *none], [np.zeros(len(head[1][0]), np.int64), *head[1]])])
-            yield from _blocks(*rows, words, buckets)
+            real = [c[real] for c in columns]
+            yield from _blocks(*added(real[1:]), words, buckets, 1)
+            seen = [count, *((count == i).astype(np.int64) for i in (1, 2)), (count > 2).astype(np.int64)]
+            yield from _blocks(*added(real[:-1], seen, ordered=True), words, buckets, SUMS - 1)
 
     return merge
 
@@ -437,26 +453,26 @@ class Model:
         out = np.zeros((len(some), 1 if k == self.order else SUMS))
         cut = np.searchsorted(bucket_of(some, self.buckets), np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)) if self.tokens[self.order] else ():
-            out[cut[b] : cut[b + 1]] = self.table(k, int(b)).find(some[cut[b] : cut[b + 1]])
+            out[cut[b] : cut[b + 1]] = self.table(k, int(b)).find(some[cut[b] : cut[b + 1]], self.buckets)
         return out[back]
 
-    def log_probs(self, words: list[np.ndarray]) -> np.ndarray:
-        """Natural logarithms, one for each n-gram of word hashes of the full order."""
-        n, p = len(words[0]), None
+    def log_probs(self, words: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        """Natural logarithms, one for each n-gram of word hashes of the full order. first: the first one of each text."""
+        p = stat = None
         for k in range(1, self.order + 1):
             gram = hashed(words[self.order - k :])
-            if k < self.order:  # as contexts of the next order they are looked up along
-                low = self.find(k, np.concatenate([gram, hashed(words[self.order - k - 1 : -1])]))
-                c, context = low[:n, 0], low[n:, 1:]
-            else:
-                c, context = self.find(k, gram)[:, 0], None
+            sums = self.find(k, gram)
+            c = sums[:, 0]
             c = np.maximum(c - self.discount[k][np.minimum(c, 3).astype(int)], 0)
             if k == 1:
                 p = c / max(self.tokens[1], 1) + (self.base / (self.types[1] + 1) if self.tokens[1] else 1.0)
             else:
                 total = np.maximum(stat[:, 0], 1)
-                p = c / total + np.where(stat[:, 0] > 0, stat[:, 1:] @ self.discount[k][1:] / total, 1.0) * p
-            stat = context
+                held = sum(stat[:, j] * self.discount[k][j] for j in (1, 2, 3))
+                p = c / total + np.where(stat[:, 0] > 0, held / total, 1.0) * p
+            if k < self.order:  # the context of a word is the n-gram before it; that of a text's first one is all BEGIN
+                stat = np.concatenate([sums[:1, 1:], sums[:-1, 1:]])
+                stat[first] = self.find(k, hashed([np.array([BEGIN])] * k))[0, 1:]
         return np.log(p)
 
 
@@ -470,7 +486,7 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.clip(np.array(d), [0, 0.05, 0.1, 0.15], [0, 1, 2, 3])
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = 3, bucket_words: int = 3_000_000) -> Model:
+def fit(docs: DataFrame, text: str = "text", order: int = 3, bucket_words: int = 2_000_000) -> Model:
     """Counts all texts. order >= 2."""
     spark = docs.sparkSession
     folder = mounted(spark)
@@ -494,7 +510,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             texts = K.strings(batch.column(1))
             for lo, hi in K.chunks(texts, SCORE_BYTES):
                 token, first = tokens(K.Words(texts[lo:hi]))
-                total = K.by_row(model.log_probs(ngrams(token, first, model.order, BEGIN)) if len(token) else np.zeros(0), first, np.add)
+                total = K.by_row(model.log_probs(ngrams(token, first, model.order, BEGIN), first[:-1][np.diff(first) > 0]) if len(token) else np.zeros(0), first, np.add)
                 n = np.diff(first)
                 none = n == 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(total, mask=none), pa.array(np.exp(-total / np.maximum(n, 1)), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
