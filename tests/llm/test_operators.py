@@ -117,9 +117,44 @@ def test_near_duplicates_against_brute_force(spark, texts):
     assert near.duplicates(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("split", [20, 60, 50_000])
+def test_recall_is_reached_in_nodes_of_any_size(spark, split):
+    """Documents that all share passages, so nodes are large and branch often, against the Jaccard of all pairs."""
+    rng = random.Random(16)
+    shared = words(30, 500)
+    docs = []
+    for g in range(60):
+        own = words(70, 600 + g)
+        for k in range(3):
+            w = list(own)
+            for _ in range(k * rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = "x" + str(rng.randrange(10**6))
+            docs.append(" ".join(shared[: 10 * (g % 4)] + w))
+    sets = [shingles(t, 3) for t in docs]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.kept_id for r in near.duplicates(table(spark, docs), leaf=4, split=split).collect()}
+    found = sum(got.get(a, a) == got.get(b, b) for a, b in pairs)
+    assert len(pairs) > 100 and found >= 0.95 * len(pairs)
+    assert not any(got.get(3 * g, 3 * g) == got.get(3 * h, 3 * h) for g, h in itertools.combinations(range(60), 2))
+
+
+def test_trees_follow_from_the_recall():
+    assert near.trees_for(0.9, 0.5, 2) < near.trees_for(0.99, 0.5, 2) < near.trees_for(0.9999, 0.5, 2)
+    assert all(len(near.drawn(k, 256, 1e-9)) == 1 for k in range(50))
+
+
+def test_near_duplicates_with_ids_of_any_type(spark, texts):
+    df = table(spark, texts).selectExpr("case when doc_id = 3 then null else concat('k', lpad(doc_id, 4, '0')) end as doc_id", "text", "text as id", "doc_id as sig", "'p' as path")
+    whole = {r.doc_id: r.kept_id for r in near.duplicates(table(spark, texts).where("doc_id <> 3")).collect()}
+    got = {r.doc_id: r.kept_id for r in near.duplicates(df).collect()}
+    assert got == {f"k{a:04}": f"k{b:04}" for a, b in whole.items()}
+    kept = near.deduplicated(df)
+    assert kept.columns == df.columns and kept.count() == len(texts) - len(got)
+
+
 def test_large_nodes_branch_and_peel():
     rng = np.random.default_rng(1)
-    sig = rng.integers(0, 60_000, (600, 128)).astype(np.uint16)
+    sig = rng.integers(0, 60_000, (600, 128)).astype(np.uint16)  # _grow takes values of any width
     for g in range(20):  # groups of copies that share 80 % of components
         for k in range(1, 5):
             sig[g * 5 + k] = np.where(rng.random(128) < 0.8, sig[g * 5], sig[g * 5 + k])
