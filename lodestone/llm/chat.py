@@ -11,8 +11,10 @@ with their own words only.
 Both joins are one to one: of the messages that say the same passage, the turns are gathered in one row.
 
 Defined results: messages are ordered by turn, then role, then text; null turns come last. Exact copies of a row
-count once. A null role is null, a null text is the empty message. A row without conversation id is a
-conversation by itself. A message that only quotes keeps an empty text. Extra columns are ignored.
+count once. A turn that is no whole number counts as null. A null role is null, a null text is the empty message; texts
+of any length are parsed whole. A row without conversation id is a conversation by itself. A message that only quotes
+keeps an empty text. An empty table gives an empty result. Extra columns are ignored, whatever their names. A
+conversation is one row, so it has to fit a task; only the links, not the messages of a conversation, are found apart.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from .shared import written
 
 _MARK = re.compile(r"[ \t]*>")
-_INTRO = re.compile(r"^[^>\n]{0,200}(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.I)
+_INTRO = re.compile(r"^[^>\n]*(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.I)
 #: Where a sentence ends.
 _END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|(?<=[。！？])\s*")
 
@@ -118,7 +120,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, n_messages, messages): one row a conversation."""
     kind = messages.schema[conv].dataType
-    rows = messages.select(messages[conv].alias("conv"), messages[turn].cast("long").alias("turn"), messages[role].cast("string").alias("role"), messages[text].cast("string").alias("text")).distinct()
+    rows = messages.select(messages[conv].alias("conv"), messages[turn].try_cast("long").alias("turn"), messages[role].cast("string").alias("role"), messages[text].cast("string").alias("text")).distinct()
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.concat(F.lit("r"), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256))))
     order = Window.partitionBy("key").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = rows.withColumn("m", (F.row_number().over(order) - 1).cast("int"))

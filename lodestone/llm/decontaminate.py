@@ -6,15 +6,16 @@ into like sizes first. Items fall into classes by their number q of distinct wor
 window a block, so that every run of up to 2^c n-grams lies inside one window. In a window a containment t of
 an item means a Jaccard similarity of t*q / (q + 2^(c+1) - t*q) >= t / (5 - t) at least: a bound free of the
 document's length, from which `hashes` follows. A document and an item are candidates if one window has the
-item's MinHash in any component; a candidate is verified by exact containment, over the document's whole set
-of n-grams.
+item's MinHash in any component; a candidate is verified by containment, over the document's whole set of n-grams: by
+their hashes first, and what passes by the words themselves.
 
-The items are indexed in blocks of `block` items each, files in the shared folder that workers map; a
-document is scanned once, is held against all blocks, and is never shuffled.
+The items are indexed in blocks of `block` items each, files in the shared folder. A document is never shuffled; it is
+scanned once for every `at_once` blocks, which are what a worker holds in memory, however many items there are.
 
-Defined results: null or empty texts and items without words match nothing. An item of fewer than n words is
-one run of all its words. Repeated document or item rows give one result row. Null document or item ids are
-reported as null ids. Extra columns are ignored.
+Defined results: null or empty texts and items without words match nothing; texts of any length are searched whole. An
+item of fewer than n words is one run of all its words. Repeated document or item rows give one result row, items of
+equal texts one each. Null document or item ids are reported as null ids. Empty tables give empty results.
+`contaminated` has its own columns only, `decontaminated` those it got, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from __future__ import annotations
 import math
 import os
 import pickle
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +50,15 @@ def _params(k: int) -> tuple[np.ndarray, np.ndarray]:
     return (s[:k] >> K.U(32)).astype(np.uint32), (s[k:] >> K.U(32)).astype(np.uint32) | np.uint32(1)
 
 
+_WORD = re.compile(K.WORD)
+
+
+def exact(text: pa.Scalar, n: int) -> frozenset:
+    """The runs of n words of a text, or the one of all its words."""
+    w = _WORD.findall(pc.utf8_lower(text).as_py())
+    return frozenset(" ".join(w[k : k + n]) for k in range(max(len(w) - n, 0) + 1)) if w else frozenset()
+
+
 def _index(n: int, hashes: int, folder: str):
     """Writes each block of items as one file; the rows say which."""
 
@@ -65,7 +78,7 @@ def _index(n: int, hashes: int, folder: str):
                     size = len(own)
                     sig = np.min(((own >> K.U(32)).astype(np.uint32)[:, None] ^ xor) * mul, axis=0)
                     level = max(MIN_CLASS, int(size - 1).bit_length())
-                    parts.setdefault(batch.column(0)[int(r)].as_py(), []).append((batch.column(1)[int(r)].as_py(), m, level, own, sig))
+                    parts.setdefault(batch.column(0)[int(r)].as_py(), []).append((batch.column(1)[int(r)].as_py(), m, level, own, sig, exact(texts[int(r)], m)))
         for block, items in parts.items():
             path = f"{folder}/{block}"
             with open(f"{path}.{os.getpid()}", "wb") as f:
@@ -111,12 +124,17 @@ def _search(n: int, hashes: int, threshold: float, paths: list[str], schema: pa.
                     if not len(grams):
                         continue
                     for block in blocks:
-                        for row, item in _candidates(grams, first, m, block, xor, mul):
-                            ident, _, _, own, _ = block.items[item]
+                        at, words = (-1, 0), frozenset()
+                        for row, item in sorted(_candidates(grams, first, m, block, xor, mul)):
+                            ident, _, _, own, _, runs = block.items[item]
                             doc = grams[first[row] : first[row + 1]]
-                            shared = int(np.isin(own, doc).sum())
-                            if shared >= threshold * len(own) - 1e-9:
-                                for to, v in zip(out, (lo + row, ident, shared, len(own))):
+                            if np.isin(own, doc).sum() < threshold * len(own) - 1e-9:
+                                continue
+                            if (row, m) != at:
+                                at, words = (row, m), exact(texts[lo + row], m)
+                            shared = len(runs & words)
+                            if shared >= threshold * len(runs) - 1e-9:
+                                for to, v in zip(out, (lo + row, ident, shared, len(runs))):
                                     to.append(v)
             if out[0]:
                 ids = batch.column(0).take(pa.array(out[0], pa.int64()))
@@ -165,7 +183,7 @@ def _candidates(grams, first, m, block, xor, mul):
     return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.6, block: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.6, block: int = 20_000, at_once: int = 4) -> DataFrame:
     """(doc_id, item_id, shared, size, containment) of every document and item with containment >= threshold."""
     spark, folder = docs.sparkSession, mounted(docs.sparkSession)
     os.makedirs(folder)
@@ -177,8 +195,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("shared", T.LongType()), T.StructField("size", T.LongType()), T.StructField("containment", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    found = docs.select(docs[doc_id].alias("i"), docs[text].cast("string").alias("t")).mapInArrow(_search(n, hashes, threshold, paths, to_arrow_schema(kind)), kind)
-    return found.distinct()
+    rows = docs.select(docs[doc_id].alias("i"), docs[text].cast("string").alias("t"))
+    parts = [rows.mapInArrow(_search(n, hashes, threshold, paths[k : k + at_once], to_arrow_schema(kind)), kind) for k in range(0, max(len(paths), 1), at_once)]
+    return reduce(DataFrame.unionAll, parts).distinct()
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

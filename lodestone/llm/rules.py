@@ -4,13 +4,16 @@ Statistics of each text (counts and shares of words, symbols, repeats, lines) ar
 texts. From labelled rows, sequential covering learns rules for low quality: a rule grows by the threshold
 condition of most information gain on two thirds of the rows still uncovered, until it covers no good document or
 no condition helps; it is pruned from its end on the other third; it joins the list if its precision there is at
-least `precision`; the rows it covers leave. The list becomes one ordered conditional expression in Spark.
-
-Defined results: a null or empty text has statistics of 0; its decision is
-that of the rules for them. Rows without a label, or with a null one,
-are not learned from; without labelled rows of both classes the list is empty and every document stays. Among
-equal conditions the first by name, then the lowest threshold, is taken. An id with several labels counts as low
-quality if any of them says so. Every row of docs gives one row.
+least `precision`; the rows it covers leave. The list becomes one ordered conditional expression in Spark. There are as many
+rules and conditions as help; what bounds the work are parameters: thresholds are tried at `steps` quantiles of a
+statistic, a rule is sought while `least` bad rows are uncovered, and at most about `max_rows` labelled rows are learned
+from. `short_share` is the share of words of at most three bytes.
+
+Defined results: a null or empty text has statistics of 0; its decision is that of the rules for them; a text of any
+length is measured whole. Rows without a label, or with a null one, are not learned from; without labelled rows of both
+classes the list is empty and every document stays; empty tables give empty results. Among equal conditions the first by
+name, then the lowest threshold, is taken. An id with several labels counts as low quality if any of them says so.
+Every row of docs gives one row, repeated ones too. Of the columns only the id stays, so others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import written
 
-STATS = ("caps_share", "digit_share", "line_repeat", "mark_share", "mean_word", "n_lines", "n_words", "pipe_share", "repeat_next", "stop_share", "word_variety")
+STATS = ("caps_share", "digit_share", "line_repeat", "mark_share", "mean_word", "n_lines", "n_words", "pipe_share", "repeat_next", "short_share", "word_variety")
 _CLASS = np.zeros((256, 5), np.float64)
 _CLASS[65:91, 0] = 1  # capitals
 _CLASS[48:58, 1] = 1  # digits
@@ -75,7 +78,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         "n_words": words.astype(float),
         "pipe_share": share["pipe"] / size,
         "repeat_next": (same[w.first[1:]] - same[np.minimum(w.first[:-1] + 1, w.first[1:])]) / many,
-        "stop_share": (short[w.first[1:]] - short[w.first[:-1]]) / many,
+        "short_share": (short[w.first[1:]] - short[w.first[:-1]]) / many,
         "word_variety": np.diff(first) / many,
     }
     out["line_repeat"][lines == 0] = 0
@@ -111,7 +114,7 @@ def _grow(x: np.ndarray, bad: np.ndarray, steps: int) -> Rule:
     """Adds the condition of most information gain (positives kept times the fall in their code length)."""
     rule: Rule = []
     here = np.ones(len(x), dtype=bool)
-    while len(rule) < 6:
+    while True:
         p, n = (here & bad).sum(), (here & ~bad).sum()
         if not p or not n:
             break
@@ -137,12 +140,12 @@ def _grow(x: np.ndarray, bad: np.ndarray, steps: int) -> Rule:
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, steps: int = 65, most: int = 20, least: int = 5) -> list[tuple[Rule, float]]:
+def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, steps: int = 65, least: int = 5) -> list[tuple[Rule, float]]:
     """The decision list as (rule, precision on the pruning rows), in order."""
     out: list[tuple[Rule, float]] = []
     prune = np.arange(len(x)) % 3 == 2
     left = np.ones(len(x), dtype=bool)
-    while len(out) < most and (left & bad & ~prune).sum() >= least:
+    while (left & bad & ~prune).sum() >= least:
         g, q = left & ~prune, left & prune
         rule = _grow(x[g], bad[g], steps)
         best: tuple[float, Rule] = (-2.0, [])
@@ -174,15 +177,15 @@ def expression(rules: list[tuple[Rule, float]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def decided(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", max_rows: int = 100_000, precision: float = 0.9) -> DataFrame:
+def decided(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", max_rows: int = 100_000, precision: float = 0.9, steps: int = 65, least: int = 5) -> DataFrame:
     """(doc_id, statistics, rule, keep): one row a document, decided by the list learned from at most about
     max_rows labelled documents, drawn by a hash of their ids."""
     stats = written(measured(docs, doc_id, text))
     marks = labels.select(labels[label_id].alias("i"), labels[label].cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
-    total = marks.count()
+    total = marks.count()  # at most about max_rows of them are broadcast
     if total > max_rows:
         marks = marks.where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < int(1_000_003 * max_rows / total))
-    rows = stats.join(marks, stats["doc_id"] == marks["i"]).select("i", "y", *STATS).toPandas()
+    rows = stats.join(F.broadcast(marks), stats["doc_id"] == marks["i"]).select("i", "y", *STATS).toPandas()
     rows = rows.assign(o=(rows["i"].rank(method="dense").astype("int64") * 2654435761) % 4294967296).sort_values(["o", *STATS], kind="stable") if len(rows) else rows
-    rules = learn(rows[list(STATS)].to_numpy(dtype=float).reshape(-1, len(STATS)), rows["y"].to_numpy() == 0, precision) if len(rows) else []
+    rules = learn(rows[list(STATS)].to_numpy(dtype=float).reshape(-1, len(STATS)), rows["y"].to_numpy() == 0, precision, steps, least) if len(rows) else []
     return stats.withColumn("rule", expression(rules)).withColumn("keep", F.col("rule") == 0)

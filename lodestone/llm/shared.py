@@ -11,9 +11,10 @@ import uuid
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: At most this many 64-bit ids are broadcast (about 40 MB as a hash relation); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: At most so many bytes, with 40 a row for a hash relation, are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 40 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -54,9 +55,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; counted, not guessed."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small enough; measured, not guessed."""
+    row = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8) for f in df.schema), F.lit(40)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(row)).head()[0] or 0) <= limit else df
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:

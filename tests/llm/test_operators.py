@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import kernel as K
 from lodestone.llm import bpe, chat, decontaminate, language, licenses, near, perplexity, pii, rules, sharding
@@ -91,6 +92,16 @@ def test_containment_is_that_of_brute_force(spark, texts):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_containment_in_any_number_of_blocks(spark, texts):
+    items = spark.createDataFrame([(k if k else None, " ".join(texts[k].split()[3:30])) for k in range(12)], "item_id long, text string")
+    docs = table(spark, texts[:20]).withColumn("doc_id", F.expr("nullif(doc_id, 4)"))
+    one = {tuple(r) for r in decontaminate.contaminated(docs, items).collect()}
+    assert one == {tuple(r) for r in decontaminate.contaminated(docs, items, block=2, at_once=2).collect()} and len(one) == 12
+    assert (None, 4) in {r[:2] for r in one} and (0, None) in {r[:2] for r in one}
+    clash = docs.withColumnRenamed("id", "item_id").withColumnRenamed("rule", "shared")
+    assert decontaminate.decontaminated(clash, items).count() == 20 - 11
+
+
 def test_containment_of_nothing(spark, texts):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(table(spark, texts), none).count() == 0
@@ -554,6 +565,32 @@ def test_short_and_partial_quotations(spark):
     assert parent == {0: (None, False), 1: (0, False), 2: (1, False), 3: (0, True), 4: (1, True), 5: (2, True), 6: (1, True), 7: (6, False)}
 
 
+def test_links_are_those_of_a_plain_search(spark):
+    """Random conversations of short messages that quote lines of earlier ones at one level or two."""
+    rng = random.Random(18)
+    rows, want = [], {}
+    for c in range(40):
+        said: list = []
+        for t in range(8):
+            own = " ".join(words(rng.randint(1, 5), (c, t).__hash__() % 99991))
+            quote = rng.choice(said) if said and rng.random() < 0.6 else None
+            level = rng.choice([1, 2])
+            rows.append((c, str(t), "u", (f"{'> ' * level}{quote}\n" if quote else "") + own))
+            if quote:
+                want[c, t] = max(k for k, s in enumerate(said) if chat.normal(s) == chat.normal(quote))
+            elif t:
+                want[c, t] = t - 1
+            said.append(own)
+    got = {(r.conv_id, m.turn): m.parent_turn for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn string, role string, text string")).collect() for m in r.messages if m.parent_turn is not None}
+    assert got == want
+
+
+def test_turns_that_are_no_numbers(spark):
+    rows = [(1, "two", "a", "x"), (1, "1", "b", "y"), (1, None, "c", None)]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn string, role string, text string").withColumn("key", F.lit(1)).withColumn("m", F.lit(1))).collect()
+    assert [m.turn for m in got[0].messages] == [1, None, None]
+
+
 def test_conversations_keep_their_turns(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     want = Counter(r.conv_id for r in rows.distinct().collect())
@@ -650,6 +687,41 @@ def test_every_license_template_finds_itself(spark):
     assert got == {k: (name, "header") for k, (name, _) in enumerate(every)}
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    t = licenses.TEMPLATES
+    of = {"BSD-2-Clause": licenses._BSD, "BSD-3-Clause": f"{licenses._BSD} {licenses._THIRD}", "LGPL-2.1": t["LGPL-2.1"][2], "LGPL-3.0": t["LGPL-3.0"][2], "GPL-2.0": t["GPL-2.0"][3], "GPL-3.0": t["GPL-3.0"][3], "AGPL-3.0": t["AGPL-3.0"][2], "MIT": licenses._MIT + licenses._MIT_REST}
+    rows = []
+    for k, (name, text) in enumerate(of.items()):
+        w = text.split()
+        lines = [" ".join(w[i : i + 11]) for i in range(0, len(w), 11)]
+        rows.append((3 * k, f"a{k}/x.c", "/*\n * Copyright 2020 Jo\n *\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nint x;"))
+        rows.append((3 * k + 1, f"a{k}/LICENSE", "Copyright 2020 Jo\n\n" + "\n".join(lines)))
+        rows.append((3 * k + 2, f"a{k}/y/z.c", "int y;"))
+    got = {r.doc_id: r.license for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"), "path").collect()}
+    assert got == {3 * k + j: name for k, name in enumerate(of) for j in range(3)}
+
+
+def test_license_cosine_is_that_of_plain_vectors():
+    rng = random.Random(17)
+    every = [(name, t) for name in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[name]]
+    idf = {w: rng.uniform(1, 9) for _, t in every for w in licenses.words(t)}
+    scanner = licenses.Scanner(idf, licenses.TEMPLATES)
+
+    def vector(text):
+        n = Counter(licenses.words(text))
+        return {w: (1 + math.log(c)) * idf.get(w, min(idf.values())) for w, c in n.items()}
+
+    def cosine(x, y):
+        return sum(v * y.get(w, 0) for w, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    for _ in range(200):
+        w = licenses.words(rng.choice(every)[1])
+        p = " ".join(rng.sample(w, rng.randint(1, len(w))) + words(rng.randint(0, 4), rng.random()))
+        want = [(cosine(vector(p), vector(t)), name) for name, t in every]
+        got = scanner.best(p)
+        assert got[0] == pytest.approx(max(want)[0], abs=2e-6) and any(name == got[1] and c > max(want)[0] - 2e-6 for c, name in want)
+
+
 def test_license_cues_lose_no_passage():
     rng = random.Random(8)
     every = [t for group in licenses.TEMPLATES.values() for t in group]
