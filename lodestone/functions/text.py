@@ -32,8 +32,7 @@ def utf8_mod(text: Column, m: int) -> Column:
 
 def trailing_zeros(x: Column) -> Column:
     """Of the binary digits; 1 for zero, whose digits are '0'."""
-    digits = F.bin(x)
-    return (F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))).cast("long")
+    return F.when(x == 0, F.lit(1)).otherwise(F.bit_count(x.bitwiseAND(-x) - 1)).cast("long")
 
 
 def euclid(a: Column, b: Column) -> Column:

@@ -54,7 +54,7 @@ def predict_users(test: DataFrame, r: DataFrame, m: DataFrame, neighbours: int =
 
 
 def averages(df: DataFrame, item: str, stars: str) -> DataFrame:
-    """(id, avg) of each item, and a row of null id with the mean of all."""
+    """(id, avg) of each item, and a row UNK with the mean of all."""
     own = df.groupBy(F.col(item).cast("string").alias("id")).agg(F.avg(stars).alias("avg")).where("id is not null")
     return own.unionAll(df.agg(F.lit("UNK").alias("id"), F.avg(stars).alias("avg")))
 
@@ -75,11 +75,41 @@ def histogram(err: DataFrame, least: int = 6) -> DataFrame:
     return err.sparkSession.range(least).toDF("bucket").join(got, "bucket", "full").select("bucket", F.coalesce("c", F.lit(0)).alias("n"))
 
 
+def coverage(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(matched, total): the pairs of the truth, and how many of them are predicted."""
+    t = truth.select("user", "item").distinct()
+    hit = pred.select("user", "item").distinct().withColumn("hit", F.lit(1))
+    return t.join(hit, ["user", "item"], "left").agg(F.count("hit").alias("matched"), F.count("*").alias("total"))
+
+
+def biases(r: DataFrame, item_reg: float = 10.0, user_reg: float = 15.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mean (gm), each item's deviation (item, bi) and each user's deviation beyond those (user, bu), shrunk."""
+    mean = r.agg(F.avg("stars").alias("gm"))
+    off = r.crossJoin(F.broadcast(mean)).withColumn("d", F.col("stars") - F.col("gm"))  # one row
+    item = off.groupBy("item").agg((F.sum("d") / (F.count("*") + item_reg)).alias("bi"))
+    user = off.join(item, "item").groupBy("user").agg((F.sum(F.col("d") - F.col("bi")) / (F.count("*") + user_reg)).alias("bu"))
+    return mean, item, user
+
+
 def factorized(r: DataFrame, test: DataFrame, rank: int = 10, rounds: int = 10, reg: float = 0.1) -> DataFrame:
-    """(user, item, pred) by alternating least squares: a stand-in for biased SVD, not numerically equal to it."""
+    """(user, item, pred): biased factors, mean + item's bias + user's bias + p * q. The factors come from alternating
+    least squares on what the biases leave, not from stochastic gradient steps, so they are not numerically those of
+    such a model. Unknown users or items have no part of their own."""
     from pyspark.ml.recommendation import ALS
 
-    als = ALS(userCol="user", itemCol="item", ratingCol="stars", rank=rank, maxIter=rounds, regParam=reg, seed=7, coldStartStrategy="nan")
-    got = als.fit(r.select(F.col("user").cast("int"), F.col("item").cast("int"), "stars")).transform(test.select(F.col("user").cast("int"), F.col("item").cast("int")).distinct())
-    mean = r.agg(F.avg("stars").alias("gm"))
-    return got.crossJoin(F.broadcast(mean)).select("user", "item", F.when(F.isnan("prediction"), F.col("gm")).otherwise(F.col("prediction").cast("double")).alias("pred"))
+    mean, item, user = biases(r)
+    rest = r.join(item, "item").join(user, "user").crossJoin(F.broadcast(mean)).select(F.col("user").cast("int"), F.col("item").cast("int"), (F.col("stars") - F.col("gm") - F.col("bi") - F.col("bu")).alias("rest"))
+    als = ALS(userCol="user", itemCol="item", ratingCol="rest", rank=rank, maxIter=rounds, regParam=reg, seed=7, coldStartStrategy="nan")
+    got = als.fit(rest).transform(test.select(F.col("user").cast("int"), F.col("item").cast("int")).distinct())
+    got = got.join(item.withColumn("item", F.col("item").cast("int")), "item", "left").join(user.withColumn("user", F.col("user").cast("int")), "user", "left").crossJoin(F.broadcast(mean))
+    part = F.when(F.isnan("prediction"), 0.0).otherwise(F.col("prediction").cast("double"))
+    return got.select("user", "item", (F.col("gm") + F.coalesce("bi", F.lit(0.0)) + F.coalesce("bu", F.lit(0.0)) + part).alias("pred"))
+
+
+def hybrid(test: DataFrame, r: DataFrame, m: DataFrame, other: DataFrame, least: int = 3, top: float = 5.0) -> DataFrame:
+    """(user, item, pred): the mean of what like users gave, weighted by the size of the similarity, where a negative
+    one turns a rating round on the scale of 1 to `top`; with fewer than `least` of them the prediction of `other`."""
+    near = test.select("user", "item").distinct().join(both_ways(m).withColumnRenamed("a", "user"), "user").join(r.select(F.col("user").alias("b"), "item", "stars"), ["b", "item"])
+    given = F.when(F.col("sim") < 0, top + 1 - F.col("stars")).otherwise(F.col("stars"))
+    own = near.groupBy("user", "item").agg(F.count("*").alias("n"), F.try_divide(F.sum(given * F.abs("sim")), F.sum(F.abs("sim"))).alias("p"))
+    return test.join(own.where(F.col("n") >= least), ["user", "item"], "left").join(other.select("user", "item", F.col("pred").alias("q")), ["user", "item"], "left").select("user", "item", F.coalesce("p", "q").alias("pred"))

@@ -5,6 +5,9 @@ points; points never come to the driver but for seeds and the bounded samples th
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,17 +20,17 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
-    """(id, cluster, dist): the closest centre, the first of equal ones."""
+def assign(points: DataFrame, centers: np.ndarray, carry: bool = False) -> DataFrame:
+    """(id, cluster, dist): the closest centre, the first of equal ones; with `carry` also vec."""
 
     def near(frames):
         for f in frames:
             if len(f):
                 x = _matrix(f["vec"])
                 d = np.sqrt(np.maximum(((x[:, None, :] - centers) ** 2).sum(axis=2), 0))
-                yield pd.DataFrame({"id": f["id"], "cluster": d.argmin(axis=1).astype("int32"), "dist": d.min(axis=1)})
+                yield pd.DataFrame({"id": f["id"], "cluster": d.argmin(axis=1).astype("int32"), "dist": d.min(axis=1), **({"vec": f["vec"]} if carry else {})})
 
-    return points.select("id", "vec").mapInPandas(near, f"id {points.schema['id'].dataType.simpleString()}, cluster int, dist double")
+    return points.select("id", "vec").mapInPandas(near, f"id {points.schema['id'].dataType.simpleString()}, cluster int, dist double" + ", vec array<double>" * carry)
 
 
 def sums(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def farthest_first(points: DataFrame, k: int) -> np.ndarray:
         return np.zeros((0, 0))
     chosen = [np.array(first[0], float)]
     while len(chosen) < k:
-        far = assign(points, np.array(chosen)).join(points, "id").orderBy(F.desc("dist"), "id").select("vec", "dist").head()
+        far = assign(points, np.array(chosen), True).orderBy(F.desc("dist"), "id").select("vec", "dist").head()
         if not far or far["dist"] <= 0:
             break
         chosen.append(np.array(far["vec"], float))
@@ -138,13 +141,15 @@ def _nearest(x: np.ndarray, summaries: list[Summary], alpha: float) -> np.ndarra
 def bfr(chunks: list[DataFrame], k: int, sample: int = 2000, factor: int = 3, few: int = 10, alpha: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Bradley-Fayyad-Reina over chunks of points in order: (id, cluster) with -1 for outliers, and the counts after
     each chunk (chunk, n_discard, discard, n_compressed, compressed, retained). The discard set comes from a
-    hash-ordered sample of the first chunk; each chunk is then assigned in Spark; only points far from all
-    clusters come to the driver, the retained set that BFR keeps in memory by design."""
+    hash-ordered sample of the first chunk; each chunk is then assigned and summed in Spark, to the discard and the
+    compressed sets alike; only points far from all come to the driver, the retained set that BFR keeps in memory by
+    design. A compressed set is a summary and the numbers of those that were joined to it; which points are in it
+    stays a table."""
     spark = chunks[0].sparkSession
     ds: list[Summary] = []
-    cs: list[tuple[Summary, list]] = []
+    cs: list[tuple[Summary, list[int]]] = []
     rs: list[tuple] = []
-    done, report = [], []
+    done, loose, report, numbers = [], [], [], count()
     kind = chunks[0].schema["id"].dataType.simpleString()
     for number, chunk in enumerate(chunks):
         chunk = cut(chunk.select("id", F.col("vec").cast("array<double>").alias("vec")).dropna())
@@ -173,28 +178,30 @@ def bfr(chunks: list[DataFrame], k: int, sample: int = 2000, factor: int = 3, fe
 
         placed = cut(chunk.mapInPandas(place, f"id {kind}, vec array<double>, ds int, cs int"))
         done.append(placed.where("ds >= 0").select("id", F.col("ds").alias("cluster")))
-        for r in sums(placed, placed.where("ds >= 0").select("id", F.col("ds").alias("cluster"))).collect():
-            ds[r["cluster"]].add(r["n"], np.array(r["sum"]), np.array(r["sumsq"]))
-        for r in placed.where("ds < 0").orderBy("id").collect():
-            if r["cs"] >= 0:
-                cs[r["cs"]][0].add(1, np.array(r["vec"]), np.array(r["vec"]) ** 2)
-                cs[r["cs"]][1].append(r["id"])
-            else:
-                rs.append((r["id"], np.array(r["vec"])))
+        for name, into in (("ds", ds), ("cs", comp)):
+            held = placed.where(f"{name} >= 0")
+            for r in sums(held, held.select("id", F.col(name).alias("cluster"))).collect() if into else ():
+                into[r["cluster"]].add(r["n"], np.array(r["sum"]), np.array(r["sumsq"]))
+        if cs:
+            first = F.array(*(F.lit(own[0]) for _, own in cs))
+            loose.append(placed.where("cs >= 0").select("id", first[F.col("cs")].alias("number")))
+        rs += [(r["id"], np.array(r["vec"])) for r in placed.where("ds < 0 and cs < 0").orderBy("id").collect()]
         if rs:
             x = np.stack([v for _, v in rs])
             lab = _kmeans(x, factor * k)
             size = np.bincount(lab)
-            cs += [(Summary(x[lab == j]), [rs[i][0] for i in np.flatnonzero(lab == j)]) for j in np.flatnonzero(size > 1)]
+            for j in np.flatnonzero(size > 1):
+                cs.append((Summary(x[lab == j]), [next(numbers)]))
+                loose.append(spark.createDataFrame([(rs[i][0], cs[-1][1][0]) for i in np.flatnonzero(lab == j)], f"id {kind}, number int"))
             rs = [rs[i] for i in np.flatnonzero(size[lab] == 1)]
         _merge(cs, alpha)
         report.append((number, sum(s.n for s in ds), len(ds), sum(s.n for s, _ in cs), len(cs), len(rs)))
-    last = [(i, int(np.argmin([np.linalg.norm(s.mean - d.mean) for d in ds]))) for s, own in cs for i in own]
-    last += [(i, int(_nearest(v[None], ds, alpha)[0])) for i, v in rs]
-    out = spark.createDataFrame(last, f"id {kind}, cluster int") if last else spark.createDataFrame([], f"id {kind}, cluster int")
-    for d in done:
-        out = out.unionAll(d)
-    return out, spark.createDataFrame(report, "chunk int, n_discard long, discard int, n_compressed long, compressed int, retained int")
+    out = spark.createDataFrame([(i, int(_nearest(v[None], ds, alpha)[0])) for i, v in rs], f"id {kind}, cluster int")
+    where = [(n, int(np.argmin([np.linalg.norm(s.mean - d.mean) for d in ds]))) for s, own in cs for n in own]
+    if loose:
+        last = F.broadcast(spark.createDataFrame(where, "number int, cluster int"))  # one row a compressed set
+        done.append(reduce(DataFrame.unionAll, loose).join(last, "number").select("id", "cluster"))
+    return reduce(DataFrame.unionAll, [out, *done]), spark.createDataFrame(report, "chunk int, n_discard long, discard int, n_compressed long, compressed int, retained int")
 
 
 def _merge(cs: list, alpha: float) -> None:

@@ -16,8 +16,9 @@ def year_prefix(df: DataFrame, date: str, year: int) -> DataFrame:
 
 
 def top_counts(df: DataFrame, key: str, k: int) -> DataFrame:
-    """The k keys with most rows; equal counts by key."""
-    return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
+    """The k keys with most rows, all of them if k <= 0; equal counts by key."""
+    ranked = df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)
+    return ranked.limit(k) if k > 0 else ranked
 
 
 def top_words(df: DataFrame, words: Column, stop: DataFrame, k: int) -> DataFrame:
@@ -39,9 +40,29 @@ def over_threshold(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def partition_counts(df: DataFrame, key: str, n: int) -> DataFrame:
-    """(part, n) of all n partitions after a hash partitioning by the first character of the key, empty ones too."""
-    parts = df.select(key).repartition(n, F.substring(F.col(key).cast("string"), 1, 1)).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("c"))
-    return df.sparkSession.range(n).select(F.col("id").cast("int").alias("part")).join(parts, "part", "left").select("part", F.coalesce("c", F.lit(0)).alias("n"))
+    """(part, n) of all n partitions after partitioning by the first character of the key, by its code modulo n; empty
+    ones too. Null and empty keys are in the first."""
+    first = F.pmod(F.coalesce(F.ascii(F.col(key).cast("string")), F.lit(0)), F.lit(n))
+    return _counted(df.select(key).repartitionById(n, first), n)
+
+
+def round_robin_counts(df: DataFrame, n: int) -> DataFrame:
+    """The same after dealing the rows out in turn."""
+    return _counted(df.repartition(n), n)
+
+
+def _counted(parts: DataFrame, n: int) -> DataFrame:
+    count = parts.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("c"))
+    return df_range(parts, n).join(count, "part", "left").select("part", F.coalesce("c", F.lit(0)).alias("n"))
+
+
+def df_range(df: DataFrame, n: int) -> DataFrame:
+    return df.sparkSession.range(n).select(F.col("id").cast("int").alias("part"))
+
+
+def partitions(df: DataFrame) -> int:
+    """How many partitions the rows lie in as they are."""
+    return df.rdd.getNumPartitions()
 
 
 def semi_pairs(facts: DataFrame, chosen: DataFrame, key: str, *out: str) -> DataFrame:

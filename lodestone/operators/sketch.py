@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +27,43 @@ def bloom_probe(known: DataFrame, probe: DataFrame, column: str, bits: int = 10_
     return probe.crossJoin(F.broadcast(filled)).select(*probe.columns, F.coalesce(verdict, F.lit(False)).cast("int").alias("verdict"))
 
 
-PRIME = 2_147_483_647
+MODULUS = (1 << 63) - 1
+HASHES, GROUP = 200, 40
 
 
-def longest_tails(x: Column, n: int) -> list[Column]:
-    """The most trailing zeros of (a * x - b) mod PRIME for each hash, as aggregates of one pass."""
-    return [F.max(trailing_zeros(F.pmod(F.pmod(x, F.lit(PRIME)) * a - b, F.lit(PRIME)))).alias(f"r{i}") for i, (a, b) in enumerate(hash_params(n))]
+def hashed(x: Column, a: Column, b: Column) -> Column:
+    """(a * x - b) mod MODULUS for 0 <= x < MODULUS and a, b < 2^20, in 64 bits: 2^63 is 1 modulo MODULUS, so what a
+    times the upper half of x has above 31 bits comes back at the bottom."""
+    high, low = F.shiftright(x, 32) * a, x.bitwiseAND(F.lit(0xFFFFFFFF)) * a
+    top = F.shiftleft(high.bitwiseAND(F.lit(0x7FFFFFFF)), 32)
+    rest = F.shiftright(high, 31) + low
+    whole = F.when(top >= MODULUS - rest, top - (MODULUS - rest)).otherwise(top + rest)
+    return F.when(whole >= b, whole - b).otherwise(whole - b + MODULUS)
 
 
-def fm_estimate(tails: list[Column], group: int) -> Column:
-    """2^R of all hashes in order, means of runs of `group`, the middle one, rounded."""
-    n = len(tails) // group
-    powers = F.array_sort(F.array(*(F.pow(F.lit(2.0), r) for r in tails)))
-    means = [F.aggregate(F.slice(powers, g * group + 1, group), F.lit(0.0), lambda s, v: s + v) / group for g in range(n)]
-    return F.round(F.array_sort(F.array(*means))[n // 2]).cast("long")
+def longest_tails(x: Column, n: int = HASHES) -> list[Column]:
+    """The most trailing zeros of each hash, as aggregates of one pass over a stream."""
+    x = F.pmod(x.cast("long"), F.lit(MODULUS))
+    return [F.max(trailing_zeros(hashed(x, F.lit(a), F.lit(b)))).alias(f"r{i}") for i, (a, b) in enumerate(hash_params(n))]
 
 
-def distinct_estimate(df: DataFrame, by: list[str], x: Column, n: int = 40, group: int = 8) -> DataFrame:
-    """(by, truth, estimate)"""
-    got = df.groupBy(*by).agg(F.count_distinct(x).alias("truth"), *longest_tails(x, n))
-    return got.select(*by, "truth", fm_estimate([F.col(f"r{i}") for i in range(n)], group).alias("estimate"))
+def fm_estimate(tails: Column, n: int = HASHES, group: int = GROUP) -> Column:
+    """2^R of all hashes in order, means of runs of `group`, the middle one, rounded."""
+    powers = F.array_sort(F.transform(tails, lambda r: F.pow(F.lit(2.0), r)))
+    means = [F.aggregate(F.slice(powers, g * group + 1, group), F.lit(0.0), lambda s, v: s + v) / group for g in range(n // group)]
+    return F.round(middle(F.array(*means))).cast("long")
+
+
+def distinct_estimate(df: DataFrame, by: list[str], x: Column, n: int = HASHES, group: int = GROUP) -> DataFrame:
+    """(by, truth, estimate). Only distinct values are hashed, and each hash keeps one number a group."""
+    some = df.select(*by, x.cast("long").alias("x")).distinct()
+    truth = some.groupBy(*by).agg(F.count("x").alias("truth"))
+    params = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(hash_params(n))))
+    every = some.where("x is not null").select(*by, F.pmod("x", F.lit(MODULUS)).alias("x"), F.explode(params).alias("p"))
+    tails = every.groupBy(*by, "p.i").agg(F.max(trailing_zeros(hashed(F.col("x"), F.col("p.a"), F.col("p.b")))).alias("r"))
+    held = tails.groupBy(*by).agg(F.collect_list("r").alias("r"))  # n numbers
+    same = reduce(lambda s, c: s & c, (truth[c].eqNullSafe(held[c]) for c in by), F.lit(True))
+    return truth.join(held, same).select(*(truth[c] for c in by), "truth", fm_estimate(F.col("r"), n, group).alias("estimate"))
 
 
 def hash_sample(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
