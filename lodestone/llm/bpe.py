@@ -219,7 +219,7 @@ def cuts(byte: np.ndarray, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
 class Batch:
     """The prefix tables of many short pieces at once, byte by byte. LONG and longer pieces go one by one."""
 
-    LONG = 48
+    LONG = 64
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ def folder(spark: SparkSession) -> str:
     """A new name under spark.checkpoint.dir. Only where that is unset, as in tests, an own folder is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, root[7:], True)
         spark.sparkContext.setCheckpointDir(root)

@@ -737,6 +737,76 @@ def test_license_cues_lose_no_passage():
     assert hits > 200
 
 
+LONG = "word " * 400_000
+AWKWARD = [None, "", " ", "\n\n", "\x00", "!?", "ok", "ok", LONG, "x" * 300_000, "1" * 100_000, "漢" * 50_000, "> " * 20_000, "\u202e\u0301", "😀" * 1000]
+
+
+def awkward(spark, texts=AWKWARD):
+    """Null and repeated ids, repeated rows, and columns named like those inside the operators."""
+    rows = [(None if k == 3 else 5 if k in (6, 7) else k, t, None, k, "a", 1.5, None, "s", f"d/{k}" if k % 2 else None) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, id int, path string, size double, spans string, ids string, license string")
+
+
+OPERATORS = {
+    "op1": lambda d, s: decontaminate.contaminated(d, s.createDataFrame([(1, "ok"), (None, None), (2, "word word word"), (2, "")], "item_id long, text string")),
+    "op2": lambda d, s: language.identify(d, language.fit(d.withColumn("lang", F.lit("xx"))), keep=["doc_id", "id", "spans"]),
+    "op2f": lambda d, s: language.identified(d, language.fit(d.withColumn("lang", F.lit("xx")))),
+    "op3": lambda d, s: pii.redacted(d, pii.fit(d)),
+    "op3s": lambda d, s: pii.spans(d, pii.fit(d)),
+    "op4": lambda d, s: rules.decided(d, s.createDataFrame([(6, 0), (None, 1), (8, None), (8, 1), (8, 0)], "doc_id long, quality int")),
+    "op5": lambda d, s: near.duplicates(d),
+    "op5f": lambda d, s: near.deduplicated(d),
+    "op6": lambda d, s: perplexity.scored(d, perplexity.fit(d)),
+    "op7": lambda d, s: sharding.shuffled(d, bucket_bytes=100_000),
+    "op8": lambda d, s: chat.linked(d, conv="id", turn="doc_id", role="lang"),
+    "op9": lambda d, s: bpe.encoded(d, VOCABULARY),
+    "op10": lambda d, s: licenses.scanned(d, "license"),
+}
+SAME = {"op2", "op3", "op4", "op6", "op7", "op9"}  # one row for each
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(spark, name):
+    df = awkward(spark)
+    out = OPERATORS[name](df, spark)
+    rows = out.collect()
+    if name in SAME:
+        assert len(rows) == len(AWKWARD)
+    if name == "op3":
+        assert out.columns == df.columns
+        assert Counter(r.text for r in rows if r.text != AWKWARD[10]) >= Counter(t for t in AWKWARD if t != AWKWARD[10] and t is not None)
+    if name == "op1":
+        assert {(r.doc_id, r.item_id) for r in rows} == {(5, 1), (8, 2)}
+    if name == "op5":
+        assert rows == []  # equal texts of one id are one document
+    if name in ("op2f", "op5f"):
+        assert out.columns == df.columns and all(r in df.collect() for r in rows)
+    if name == "op8":
+        assert len(rows) == len(AWKWARD)
+    if name == "op10":
+        assert rows == []
+    none = OPERATORS[name](df.limit(0), spark)
+    assert none.count() == 0 and none.columns == out.columns
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").limit(40)
+    odd = spark.createDataFrame([(None if k == 3 else 900_000 + k, t, None, None, None) for k, t in enumerate(AWKWARD)], docs.schema)
+    docs.unionAll(odd).unionAll(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = Counter(r.doc_id for r in out)
+    assert not set(kept) & {900_000 + k for k in (0, 1, 2, 5)} and set(kept) & {r.doc_id for r in docs.collect()}
+    assert all(r.n_tokens == len(r.ids) for r in out)
+    (tmp_path / "empty").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
 
