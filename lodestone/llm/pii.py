@@ -121,7 +121,8 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[tuple[int, ...
         shape = 1
         checks = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     elif kind == "PHONE":
-        shape = -1 if span.isdigit() else 1 if re.fullmatch(r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}", span) else 1 if span[0] == "+" and 8 <= len(digits) <= 15 else -1
+        named = 1 if AROUND[kind].search(before) else -1  # bare digits have no shape, but for a name before them
+        shape = named if span.isdigit() else 1 if re.fullmatch(r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}", span) else 1 if span[0] == "+" and 8 <= len(digits) <= 15 else -1
         checks = 1 if 9 <= len(digits) <= 15 else -1
         gaz = 1 if len(digits) >= 10 and digits[-10] in "23456789" else -1
     elif kind == "CARD":
@@ -189,25 +190,26 @@ def inputs(vote: tuple, extra: tuple) -> np.ndarray:
 
 def estimate(vote: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """EM for two classes and conditionally independent labelers. vote: [patterns, labelers] of -1, 0, 1. Returns
-    the probability that each pattern is real, and P(vote | class) as [labelers, 3, 2]. A Dirichlet prior that
-    holds labelers to be right more often than not keeps the classes from trading places."""
+    the probability that each pattern is real, and P(vote | class) as [labelers, 3, 2].
+
+    A labeler that votes is right with one probability, its reliability, whatever the class; that it does not vote says
+    nothing. It may be of no use but not contrary, so reliabilities are at least a half, and the classes cannot trade
+    places or split what is real in two, however much data there is. The prior weighs a few votes at any size."""
+    weight = np.array([4.0, 1.0])  # right and wrong
     j = vote.shape[1]
-    prior = np.zeros((j, 3, 2))
-    prior[:, 0] = (8, 1)  # votes -1 for class 0, 1: labelers speak against a span with more reason than for it
-    prior[:, 1] = (3, 3)
-    prior[:, 2] = (1, 4)
-    rate, p = prior / prior.sum(axis=1, keepdims=True), 0.5
-    at = vote + 1
+    right, p = np.full(j, weight[0] / weight.sum()), 0.5
+    voted = (np.abs(vote) * count[:, None]).sum(axis=0)
     post = np.full(len(vote), 0.5)
     for _ in range(rounds):
-        like = np.stack([np.log(rate[np.arange(j), at, k]).sum(axis=1) + math.log((1 - p, p)[k]) for k in (0, 1)], axis=1)
-        post = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -50, 50)))
-        new = prior.copy()
-        for k, w in ((0, (1 - post) * count), (1, post * count)):
-            for x in range(j):
-                new[x, :, k] += np.bincount(at[:, x], weights=w, minlength=3)
-        rate = new / new.sum(axis=1, keepdims=True)
+        post = 1 / (1 + np.exp(-np.clip(vote @ np.log(right / (1 - right)) + math.log(p / (1 - p)), -50, 50)))
+        good = ((vote == 1) * (post * count)[:, None] + (vote == -1) * ((1 - post) * count)[:, None]).sum(axis=0)
+        right = np.clip((good + weight[0]) / (voted + weight.sum()), 0.5, 1 - 1e-6)
         p = float(np.clip((post @ count + 1) / (count.sum() + 2), 0.05, 0.95))
+    share = voted / max(count.sum(), 1)
+    rate = np.empty((j, 3, 2))
+    rate[:, 1] = (1 - share)[:, None]
+    rate[:, 2, 1] = rate[:, 0, 0] = right * share
+    rate[:, 0, 1] = rate[:, 2, 0] = (1 - right) * share
     return post, rate
 
 

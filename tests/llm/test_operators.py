@@ -326,6 +326,16 @@ def test_time_of_patterns_is_in_proportion_to_the_text():
         assert took[1] < 24 * took[0] + 0.2, unit
 
 
+@pytest.mark.parametrize("size", [1, 1000])
+def test_two_sorts_of_real_spans_are_both_real(size):
+    """Where nothing speaks against any of them, at any size; and where something does, those are not real."""
+    vote = np.array([(1, 1, 1, 0, 0), (1, 1, 0, 1, 0), (1, -1, 1, 0, 0), (-1, -1, -1, 0, 0), (1, 1, 1, 0, -1)])
+    post, _ = pii.estimate(vote[:3], np.array([500.0, 160.0, 12.0]) * size)
+    assert (post > 0.5).all()
+    post, _ = pii.estimate(vote, np.array([500.0, 160.0, 12.0, 200.0, 1.0]) * size)
+    assert (post[[0, 1, 2, 4]] > 0.5).all() and post[3] < 0.5
+
+
 @pytest.mark.parametrize("size", [400, 4_000, 400_000])
 def test_reliabilities_do_not_depend_on_the_size(size):
     rng = np.random.default_rng(14)
