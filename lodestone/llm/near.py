@@ -220,12 +220,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("n"))
-        least = least.select("a", F.least("a", "m").alias("m"), "n")
-        new = least.select("m", "a", F.explode("n").alias("v"))
-        if large:
-            return new.where("v > a").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
-        return new.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        # many edges of a node meet its one row, so a node with very many is split, never gathered
+        new = both.join(least, "a").where(F.col("b") > F.col("a") if large else F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return new.where("a <> b").unionAll(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
 
     now = written(edges.where("a <> b").distinct())
     mark = None
@@ -254,7 +252,9 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     member = signed.select("id", F.xxhash64("sig").alias("h"), F.crc32("sig").alias("g"), F.explode("roots").alias("path")).join(alike.select("h", "g", "id"), ["h", "g", "id"]).select("path", "id").distinct()
     nodes = _branched(member, signed, split, size, threshold, depth)
     pairs = nodes.mapInArrow(_compare(size, threshold, leaf, depth), "a long, b long")
-    group = components(same.unionAll(pairs))
+    group = components(pairs)  # of the representatives; equal signatures follow theirs
+    root = group.select(F.col("node").alias("b"), "root")
+    group = group.unionAll(same.join(root, "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root")))
     if not whole:
         every = group.unionAll(group.select("root", "root").distinct()).join(names, F.col("node") == F.col("id")).select("root", "name")
         least = every.groupBy("root").agg(F.min("name").alias("least"))
