@@ -37,7 +37,9 @@ def both_ways(m: DataFrame) -> DataFrame:
 
 def predict_items(test: DataFrame, r: DataFrame, m: DataFrame, neighbours: int = 5) -> DataFrame:
     """(user, item, pred): from the user's rated items most like the item; else the item's mean, else that of all."""
-    near = test.select("user", "item").distinct().join(both_ways(m).withColumnRenamed("a", "item"), "item").join(r.select("user", F.col("item").alias("b"), "stars"), ["user", "b"])
+    # what the user rated first: far less than all that is like the item
+    rated = test.select("user", "item").distinct().join(r.select("user", F.col("item").alias("b"), "stars"), "user")
+    near = rated.join(both_ways(m).withColumnRenamed("a", "item"), ["item", "b"])
     rank = F.row_number().over(Window.partitionBy("user", "item").orderBy(F.desc("sim"), "b"))
     best = near.withColumn("k", rank).where(F.col("k") <= neighbours).groupBy("user", "item").agg(F.try_divide(F.sum(F.col("stars") * F.col("sim")), F.sum(F.abs("sim"))).alias("p"))
     mean = r.groupBy("item").agg(F.avg("stars").alias("im"))
