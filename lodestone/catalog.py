@@ -236,14 +236,18 @@ q AS (SELECT a, b, CASE WHEN sxx - sx * sx / n > 1e-9 AND syy - sy * sy / n > 1e
 model AS (SELECT a, b, round(v, 6) AS sim FROM q WHERE {keep.replace("sim", "round(v, 6)")})"""
 
 
+#: Jaccard similarity of what two users rated, for a place in the user model.
+ALIKE = 0.01
+
+
 @query(f"WITH {RATINGS}, {_model_sql('item', 'usr', 3, 'sim > 0')} SELECT a, b, sim FROM model")
 def cf_item_model(s, d):
     return cf.model(_ratings(s, d), "item", "user", 3)
 
 
-@query(f"WITH {RATINGS}, {_model_sql('usr', 'item', 3, 'sim > 0', '0.3')} SELECT a, b, sim FROM model")
+@query(f"WITH {RATINGS}, {_model_sql('usr', 'item', 3, 'sim > 0', str(ALIKE))} SELECT a, b, sim FROM model")
 def cf_user_model(s, d):
-    return cf.model(_ratings(s, d), "user", "item", 3, jaccard=0.3)
+    return cf.model(_ratings(s, d), "user", "item", 3, jaccard=ALIKE)
 
 
 @query(f"WITH {RATINGS}, {_model_sql('usr', 'item', 5, 'sim >= 0.5 OR sim <= -0.8')} SELECT a, b, sim FROM model")
@@ -269,13 +273,13 @@ def cf_item_predict(s, d):
     return cf.predict_items(_test(s, d), r, cut(cf.model(r, "item", "user", 3))).withColumn("pred", F.round("pred", 3))
 
 
-@query(f"""WITH {RATINGS}, {_model_sql('usr', 'item', 3, 'sim > 0', '0.3')}, {TEST}, {BOTH}, um AS (SELECT usr, avg(stars) AS um FROM r GROUP BY 1),
+@query(f"""WITH {RATINGS}, {_model_sql('usr', 'item', 3, 'sim > 0', str(ALIKE))}, {TEST}, {BOTH}, um AS (SELECT usr, avg(stars) AS um FROM r GROUP BY 1),
 k AS (SELECT t.usr, t.item, stars - um AS dev, sim FROM t JOIN m2 ON m2.a = t.usr JOIN r ON r.usr = m2.b AND r.item = t.item JOIN um ON um.usr = m2.b QUALIFY row_number() OVER (PARTITION BY t.usr, t.item ORDER BY sim DESC, m2.b) <= 5),
 p AS (SELECT usr, item, sum(dev * sim) / sum(abs(sim)) AS d FROM k GROUP BY 1, 2)
 SELECT usr AS user, item, round(coalesce(um, (SELECT avg(stars) FROM r)) + coalesce(d, 0), 3) AS pred FROM t LEFT JOIN p USING (usr, item) LEFT JOIN um USING (usr)""")
 def cf_user_predict(s, d):
     r = cut(_ratings(s, d))
-    return cf.predict_users(_test(s, d), r, cut(cf.model(r, "user", "item", 3, jaccard=0.3))).withColumn("pred", F.round("pred", 3))
+    return cf.predict_users(_test(s, d), r, cut(cf.model(r, "user", "item", 3, jaccard=ALIKE))).withColumn("pred", F.round("pred", 3))
 
 
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS id, round(avg(l_quantity), 6) AS avg FROM lineitem GROUP BY 1 UNION ALL SELECT 'UNK', round(avg(l_quantity), 6) FROM lineitem")
@@ -311,11 +315,13 @@ def cf_hybrid_predict(s, d):
     return cf.hybrid(test, r, cut(cf.model(r, "user", "item", 5, keep=cf.strong())), mean, top=50.0).withColumn("pred", F.round("pred", 3))
 
 
-@query(f"WITH {RATINGS}, p AS (SELECT usr, item FROM r WHERE item % 2 = 0) SELECT (SELECT count(*) FROM p) AS matched, count(*) AS total FROM r")
+@query(f"""WITH {RATINGS}, {_model_sql('item', 'usr', 3, 'sim > 0')}, {TEST}, {BOTH},
+k AS (SELECT DISTINCT t.usr, t.item FROM t JOIN m2 ON m2.a = t.item JOIN r ON r.usr = t.usr AND r.item = m2.b)
+SELECT (SELECT count(*) FROM k) AS matched, count(*) AS total FROM r""")
 def coverage(s, d):
-    """Of all rated pairs, how many a predictor of the items of even keys covers."""
+    """Of all rated pairs, how many the item model predicts: those whose user rated something like the item."""
     r = cut(_ratings(s, d))
-    return cf.coverage(r.where("item % 2 = 0"), r)
+    return cf.coverage(cf.predictable(_test(s, d), r, cut(cf.model(r, "item", "user", 3))), r)
 
 
 @query()

@@ -35,11 +35,21 @@ def both_ways(m: DataFrame) -> DataFrame:
     return m.select("a", "b", "sim").unionAll(m.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
-def predict_items(test: DataFrame, r: DataFrame, m: DataFrame, neighbours: int = 5) -> DataFrame:
-    """(user, item, pred): from the user's rated items most like the item; else the item's mean, else that of all."""
+def _rated_alike(test: DataFrame, r: DataFrame, m: DataFrame) -> DataFrame:
+    """(user, item, b, stars, sim): what the user of a pair rated that is like its item."""
     # what the user rated first: far less than all that is like the item
     rated = test.select("user", "item").distinct().join(r.select("user", F.col("item").alias("b"), "stars"), "user")
-    near = rated.join(both_ways(m).withColumnRenamed("a", "item"), ["item", "b"])
+    return rated.join(both_ways(m).withColumnRenamed("a", "item"), ["item", "b"])
+
+
+def predictable(test: DataFrame, r: DataFrame, m: DataFrame) -> DataFrame:
+    """(user, item): the pairs that an item model m predicts, without means to fall back on."""
+    return _rated_alike(test, r, m).select("user", "item").distinct()
+
+
+def predict_items(test: DataFrame, r: DataFrame, m: DataFrame, neighbours: int = 5) -> DataFrame:
+    """(user, item, pred): from the user's rated items most like the item; else the item's mean, else that of all."""
+    near = _rated_alike(test, r, m)
     rank = F.row_number().over(Window.partitionBy("user", "item").orderBy(F.desc("sim"), "b"))
     best = near.withColumn("k", rank).where(F.col("k") <= neighbours).groupBy("user", "item").agg(F.try_divide(F.sum(F.col("stars") * F.col("sim")), F.sum(F.abs("sim"))).alias("p"))
     mean = r.groupBy("item").agg(F.avg("stars").alias("im"))

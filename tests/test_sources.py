@@ -99,6 +99,18 @@ def test_partitions(spark):
     assert explore.top_counts(df, "k", 0).count() == 23 and explore.top_counts(df, "k", -1).count() == 23 and explore.top_counts(df, "k", 2).count() == 2
 
 
+def test_predictable_pairs_are_those_with_a_like_item(spark):
+    r = [(1, "a", 5.0), (1, "b", 3.0), (2, "a", 1.0), (2, "c", 2.0), (3, "d", 4.0), (4, "b", 2.0), (4, "c", 2.0)]
+    m = [("a", "b", 0.9), ("c", "e", 0.4)]
+    like = {p for a, b, _ in m for p in ((a, b), (b, a))}
+    test = [(u, i) for u in (*range(1, 5), 9) for i in "abcdez"] * 2
+    want = {(u, i) for u, i in test if any(v == u and (i, j) in like for v, j, _ in r)}
+    args = spark.createDataFrame(test, "user long, item string"), spark.createDataFrame(r, "user long, item string, stars double"), spark.createDataFrame(m, "a string, b string, sim double")
+    got = [(x.user, x.item) for x in cf.predictable(*args).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+    assert cf.predictable(args[0].limit(0), *args[1:]).isEmpty() and cf.predictable(*args[:2], args[2].limit(0)).isEmpty()
+
+
 def test_coverage_biases_and_hybrid(spark):
     r = spark.createDataFrame([(u, i, float(1 + (u + i) % 5)) for u in range(12) for i in range(8) if (u * i) % 7], "user long, item long, stars double")
     got = cf.coverage(r.where("item < 4"), r).head()
