@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
+from ..plans.lists import pairs
 from ..plans.pairs import sharing
 
 
 def exact(rows: DataFrame, key: str, element: str, threshold: float) -> DataFrame:
     """(a, b, sim) of all pairs of keys with a Jaccard similarity of their element sets of at least threshold > 0."""
     rows = rows.select(F.col(key).alias("k"), F.col(element).alias("e")).dropna().distinct()
-    size = rows.groupBy("k").agg(F.count("*").alias("n"))
-    common = sharing(rows, "k", "e").groupBy("a", "b").agg(F.count("*").alias("c"))
-    out = common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    return out.select("a", "b", jaccard(F.col("c"), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= threshold)
+    return pairs(rows, "k", "e", sizes=threshold).select("a", "b", jaccard(F.col("n"), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def hash_params(n: int) -> list[tuple[int, int]]:
