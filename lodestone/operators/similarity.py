@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
-from ..plans.lists import pairs
-from ..plans.pairs import sharing
+from ..plans.cut import once
+from ..plans.lists import HELD, coded, decoded, lists, pairs
 
 
 def exact(rows: DataFrame, key: str, element: str, threshold: float) -> DataFrame:
@@ -30,12 +31,26 @@ def signatures(rows: DataFrame, key: str, element: str, modulus: int, n: int = 5
 
 
 def lsh(rows: DataFrame, key: str, element: str, modulus: int, threshold: float, n: int = 50, band: int = 1) -> DataFrame:
-    """(a, b, sim): pairs with an equal band of their signatures, verified by their exact Jaccard similarity."""
-    sig = signatures(rows, key, element, modulus, n)
-    bands = sig.groupBy("k", F.floor(F.col("i") / band).alias("g")).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("v"))
-    bands = bands.select("k", F.struct("g", "v").alias("e"))
-    cand = sharing(bands, "k", "e").select("a", "b").distinct()
-    sets = rows.select(F.col(key).alias("k"), F.col(element).alias("e")).dropna().groupBy("k").agg(F.collect_set("e").alias("s"))
-    both = cand.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", jaccard(common, F.size("sa"), F.size("sb")).alias("sim")).where(F.col("sim") >= threshold)
+    """(a, b, sim): pairs with an equal band of their signatures and an exact Jaccard similarity of at least
+    threshold > 0. Candidates are checked where they arise: common elements are counted from the lists of each key's
+    elements, which costs the same for many candidates as for few, and the signatures of those similar enough are
+    compared band by band, so neither candidates nor sets travel."""
+    if threshold <= 0:
+        raise ValueError("threshold has to be above 0")
+    kind = rows.schema[key].dataType
+    rows, back = coded(rows.select(F.col(key).alias("k"), F.col(element).cast("long").alias("e")).dropna().distinct(), "k")
+    rows = once(rows)
+    signed = lists(once(signatures(rows, "k", "e", modulus, n)), "k", "i", "h")
+    starts = np.arange(0, n, band)
+
+    def alike(a, b):
+        out = np.zeros(len(a), bool)
+        for at in range(0, len(a), max(1, HELD // n)):
+            s = slice(at, at + max(1, HELD // n))
+            x, y = (signed.gather(*signed.find(k[s]), 2)[1].reshape(-1, n) for k in (a, b))
+            out[s] = np.logical_and.reduceat(x == y, starts, axis=1).any(axis=1)
+        return out
+
+    got = pairs(rows, "k", "e", sizes=threshold, also=alike)
+    got = got.select("a", "b", jaccard(F.col("n"), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= threshold)
+    return decoded(decoded(got, "a", back.get("k"), kind), "b", back.get("k"), kind).select("a", "b", "sim")

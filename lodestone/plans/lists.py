@@ -7,7 +7,7 @@ files are page cache, not memory of the workers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -299,9 +299,10 @@ def decoded(df: DataFrame, column: str, names: DataFrame | None, kind: T.DataTyp
     return df.join(held, column).withColumn(column, F.col("_name")).drop("_name")
 
 
-def pairs(rows: DataFrame, key: str, element: str, least: int = 1, sizes: float | None = None) -> DataFrame:
+def pairs(rows: DataFrame, key: str, element: str, least: int = 1, sizes: float | None = None, also: Callable | None = None) -> DataFrame:
     """(a, b, n): the pairs of keys a < b that share at least `least` > 0 elements, and how many; rows are distinct.
-    `sizes` also gives na and nb, how many each has, and leaves out Jaccard similarities below that."""
+    `sizes` also gives na and nb, how many each has, and leaves out Jaccard similarities below that. `also` says of
+    arrays of integer keys a and b which pairs to keep."""
     kind = rows.schema[key].dataType
     rows, back = coded(rows.select(key, element).dropna(), key, element)
     rows = once(rows)
@@ -318,6 +319,9 @@ def pairs(rows: DataFrame, key: str, element: str, least: int = 1, sizes: float
                 size = np.bincount(c.k, minlength=len(c.ids))[s.k]
                 at = s.n / (size + s.cb - s.n) >= sizes
                 out = {name: x[at] for name, x in (out | {"na": size, "nb": s.cb.astype(np.int64)}).items()}
+            if also is not None:
+                at = also(out["a"], out["b"])
+                out = {name: x[at] for name, x in out.items()}
             yield from sent(out)
 
     cast = rows.select(F.col(key).cast("long").alias(key), F.col(element).cast("long").alias(element))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestone.operators import cf
+from lodestone.operators import cf, similarity
 from lodestone.plans import lists
 
 
@@ -39,7 +39,7 @@ def _flat(df):
 def test_item_predictions_need_no_join_of_pairs(spark, monkeypatch):
     rows, r = _ratings(spark)
     sim, held = _plain(rows, "item", "user", 3), {u: dict(zip(g["item"], g["stars"])) for u, g in rows.groupby("user")}
-    for bound in (1 << 20, 7):  # lists in one step, and in several for each key
+    for bound in (1 << 20, 50):  # lists in one step, and in several for each key
         monkeypatch.setattr(lists, "HELD", bound)
         got = cf.predict_items(r.select("user", "item"), r, cf.Like("item", "user", 3))
         assert _flat(got).count("Join") <= 4  # of the tested pairs, each once; never of item with item
@@ -47,3 +47,21 @@ def test_item_predictions_need_no_join_of_pairs(spark, monkeypatch):
             near = sorted((-sim[x.item, b], b) for b in held[x.user] if (x.item, b) in sim)[:5]
             want = sum(-s * held[x.user][b] for s, b in near) / sum(-s for s, _ in near) if near else rows[rows["item"] == x.item]["stars"].mean()
             assert x.pred == pytest.approx(want, abs=1e-4)
+
+
+def _count_pairs(rows, of, by):
+    held = {k: set(g[by]) for k, g in rows.groupby(of)}
+    return {(a, b): (len(held[a] & held[b]), len(held[a]), len(held[b])) for a in held for b in held if a < b and held[a] & held[b]}
+
+
+def test_lsh_candidates_do_not_travel(spark):
+    rows, r = _ratings(spark)
+    want = {(a, b): c / (na + nb - c) for (a, b), (c, na, nb) in _count_pairs(rows, "item", "user").items()}
+    for band in (1, 3):  # seven components, so the last band is short
+        sig = {}
+        for x in similarity.signatures(r, "item", "user", 40, 7).collect():
+            sig.setdefault(x.k, {})[x.i] = x.h
+        hit = {p for p in want if any(all(sig[p[0]][i] == sig[p[1]][i] for i in range(g, min(g + band, 7))) for g in range(0, 7, band))}
+        got = similarity.lsh(r, "item", "user", 40, 0.2, 7, band)
+        assert "Join" not in _flat(got)
+        assert {(x.a, x.b): x.sim for x in got.collect()} == {p: want[p] for p in hit if want[p] >= 0.2}
