@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestone.operators import cf, similarity
+from lodestone.operators import cf, graph, similarity
 from lodestone.plans import lists
 
 
@@ -65,3 +65,58 @@ def test_lsh_candidates_do_not_travel(spark):
         got = similarity.lsh(r, "item", "user", 40, 0.2, 7, band)
         assert "Join" not in _flat(got)
         assert {(x.a, x.b): x.sim for x in got.collect()} == {p: want[p] for p in hit if want[p] >= 0.2}
+
+
+def _paths(edges):
+    """Brandes' sums in plain Python."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = dict.fromkeys(edges, 0.0)
+    for root in near:
+        dist, sigma, order = {root: 0}, {root: 1.0}, [root]
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], sigma[w] = dist[v] + 1, 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        credit = dict.fromkeys(order, 1.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if dist[v] == dist[w] - 1:
+                    x = credit[w] * sigma[v] / sigma[w]
+                    credit[v] += x
+                    out[min(v, w), max(v, w)] += x / 2
+    return out
+
+
+def test_betweenness_makes_no_row_for_a_root_and_node(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    edges = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 30, (70, 2)) if p[0] != p[1]}) + [(90, 91), (91, 95)]
+    df, want = spark.createDataFrame(edges, "a long, b long"), _paths(edges)
+    for bound in (4096, 8):  # as matrices, and along lists
+        monkeypatch.setattr(graph, "DENSE", bound)
+        made = graph.betweenness(df)
+        assert "root" not in made._jdf.queryExecution().executedPlan().toString()
+        got = {(x.a, x.b): x.value for x in made.collect()}
+        assert got.keys() == want.keys() and all(got[e] == pytest.approx(want[e], abs=1e-8) for e in want)
+
+
+def test_label_propagation_groups_no_edges(spark):
+    rng = np.random.default_rng(4)
+    edges = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 60, (150, 2)) if p[0] != p[1]})
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label = {v: v for v in near}
+    for _ in range(3):
+        votes = {v: pd.Series([label[w] for w in near[v]]).value_counts() for v in near}
+        label = {v: int(min(c.index[c == c.max()])) for v, c in votes.items()}
+    for name in (int, lambda v: f"n{v:02d}"):
+        got = graph.label_propagation(spark.createDataFrame([(name(a), name(b)) for a, b in edges], ["a", "b"]), 3)
+        assert "Aggregate" not in _flat(got)
+        assert {x.id: x.community for x in got.collect()} == {name(v): name(c) for v, c in label.items()}
