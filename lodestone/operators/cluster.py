@@ -5,15 +5,18 @@ points; points never come to the driver but for seeds and the bounded samples th
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import cut, mounted
 
 
 def _matrix(column) -> np.ndarray:
@@ -47,45 +50,100 @@ def statistics(points: DataFrame, labels: DataFrame) -> DataFrame:
     return s.select("cluster", "n", mean.alias("centroid"), F.zip_with("sumsq", mean, lambda q, m: F.greatest(q / F.col("n") - m * m, F.lit(0.0))).alias("variance"))
 
 
-def farthest_first(points: DataFrame, k: int) -> np.ndarray:
-    """The point of least id, then again and again the one farthest from those chosen; equal ones by id."""
-    first = points.orderBy("id").select("vec").head()
-    if first is None:
-        return np.zeros((0, 0))
-    chosen = [np.array(first[0], float)]
-    while len(chosen) < k:
-        far = assign(points, np.array(chosen), True).orderBy(F.desc("dist"), "id").select("vec", "dist").head()
-        if not far or far["dist"] <= 0:
-            break
-        chosen.append(np.array(far["vec"], float))
-    return np.array(chosen)
+#: Points of a task in the rounds, and of a step within it.
+TASK, STEP = 20_000, 2_048
 
 
-def _partials(centers: np.ndarray):
-    def add(frames):
-        k, d = centers.shape
-        n, s = np.zeros(k, int), np.zeros((k, d))
-        for f in frames:
-            if len(f):
-                x = _matrix(f["vec"])
-                c = ((x[:, None, :] - centers) ** 2).sum(axis=2).argmin(axis=1)
-                n += np.bincount(c, minlength=k)
-                np.add.at(s, c, x)
-        yield pd.DataFrame({"cluster": np.arange(k, dtype="int32"), "n": n, "s": list(s)})
+class Points:
+    """Vectors in mapped files of the shared folder, by ascending id, and work on each file in a task of its own."""
+
+    def __init__(self, points: DataFrame):
+        """points: (id, vec array<double>), read several times."""
+        self.spark = points.sparkSession
+        root = mounted(self.spark)
+
+        def write(batches):
+            name, n, first = f"{root}/{uuid.uuid4().hex}", 0, None
+            for b in batches:
+                if b.num_rows:
+                    os.makedirs(root, exist_ok=True)
+                    first = b.column(0)[:1] if first is None else first
+                    with open(name, "ab") as f:
+                        b.column(1).flatten().to_numpy(zero_copy_only=False).tofile(f)
+                    n += b.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([first, pa.array([name]), pa.array([n])], names=["id", "path", "n"])
+
+        kind = points.schema["id"].dataType.simpleString()
+        parts = -(-points.count() // TASK) or 1
+        self.files = [(r["path"], r["n"]) for r in points.select("id", "vec").repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(write, f"id {kind}, path string, n long").orderBy("id").collect()]
+
+    def each(self, work) -> list:
+        """work(steps of vectors) of each file, in their order."""
 
-    return add
+        def run(file):
+            path, n = file
+            x = np.memmap(path, np.float64, "r").reshape(n, -1)
+            return work(np.asarray(x[at : at + STEP]) for at in range(0, n, STEP))
+
+        return self.spark.sparkContext.parallelize(self.files, len(self.files)).map(run).collect() if self.files else []
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The squared distances of points and centres."""
+    out = np.empty((len(x), len(centers)))
+    for j, c in enumerate(centers):
+        d = x - c
+        out[:, j] = (d * d).sum(axis=1)
+    return out
+
+
+def farthest_first(points: DataFrame | Points, k: int) -> np.ndarray:
+    """The point of least id, then again and again the one farthest from those chosen; equal ones by id."""
+    points = points if isinstance(points, Points) else Points(points)
+    if not points.files:
+        return np.zeros((0, 0))
+
+    def farthest(steps):
+        best = None
+        for x in steps:
+            d = np.sqrt(_squares(x, centers).min(axis=1)) if len(centers) else -np.arange(len(x))
+            if best is None or d.max() > best[0]:
+                best = d.max(), x[d.argmax()].copy()
+        return best
+
+    centers = np.zeros((0, 0))
+    centers = np.array([points.each(farthest)[0][1]])
+    while len(centers) < k:
+        dist, far = max(points.each(farthest), key=lambda r: r[0])
+        if dist <= 0:
+            break
+        centers = np.vstack([centers, far])
+    return centers
 
 
 def kmeans(points: DataFrame, k: int, rounds: int = 1000, tolerance: float = 1e-9) -> tuple[DataFrame, np.ndarray]:
     """Lloyd's rounds from farthest-first seeds until no centre moves: labels (id, cluster, dist) and centres. An
-    empty cluster keeps its centre. Each round sends k sums a partition, not points."""
+    empty cluster keeps its centre. The points are laid down once in mapped files; each round is one job over these,
+    which sends k sums a file."""
     points = cut(points.select("id", F.col("vec").cast("array<double>").alias("vec")))
-    centers = farthest_first(points, k)
+    held = Points(points)
+    centers = farthest_first(held, k)
+
+    def sums_of(steps):
+        n, s = np.zeros(len(centers), int), np.zeros(centers.shape)
+        for x in steps:
+            c = _squares(x, centers).argmin(axis=1)
+            one = np.zeros((len(centers), len(x)))
+            one[c, np.arange(len(x))] = 1
+            n += np.bincount(c, minlength=len(n))
+            s += one @ x
+        return n, s
+
     for _ in range(rounds if len(centers) else 0):
-        part = points.mapInPandas(_partials(centers), "cluster int, n long, s array<double>").where("n > 0")
-        cell = part.select("cluster", "n", F.posexplode("s").alias("j", "x")).groupBy("cluster", "j").agg((F.sum("x") / F.sum("n")).alias("m")).toPandas()
-        new = centers.copy()
-        new[cell["cluster"], cell["j"]] = cell["m"]
+        got = held.each(sums_of)
+        n, s = sum(g[0] for g in got), sum(g[1] for g in got)
+        new = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centers)
         moved, centers = np.abs(new - centers).max(), new
         if moved <= tolerance:
             break

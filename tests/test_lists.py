@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestone.operators import cf, graph, similarity
+from lodestone.operators import cf, cluster, content, graph, similarity
 from lodestone.plans import lists
 
 
@@ -120,3 +120,44 @@ def test_label_propagation_groups_no_edges(spark):
         got = graph.label_propagation(spark.createDataFrame([(name(a), name(b)) for a, b in edges], ["a", "b"]), 3)
         assert "Aggregate" not in _flat(got)
         assert {x.id: x.community for x in got.collect()} == {name(v): name(c) for v, c in label.items()}
+
+
+def test_profiles_are_united_without_shuffling_terms(spark):
+    profile = spark.createDataFrame([("x", t) for t in "abc"] + [("y", t) for t in "cd"] + [("z", "e")], "source string, term string")
+    pairs = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "y"), (3, "none"), (None, "z")], "u long, source string")
+    got = content.user_profiles(pairs, profile, "u", "source")
+    assert "Join" not in _flat(got)
+    assert sorted(map(tuple, got.collect())) == [(1, t) for t in "abcd"] + [(2, "c"), (2, "d")]
+    own = content.own_scores(pairs, profile, "u", "source")
+    assert "Join" not in _flat(own)
+    want = content.scores(pairs, got, profile, "u", "source")
+    assert {tuple(r) for r in own.collect()} == {tuple(r) for r in want.collect()} != set()
+
+
+def test_kmeans_rounds_are_single_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4)) + np.repeat(np.arange(3), 100)[:, None] * 3
+    pts = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    monkeypatch.setattr(type(pts), "toPandas", lambda self: pytest.fail("a round makes a table"))
+    labels, centers = cluster.kmeans(pts, 3)
+    c = [x[0]]
+    while len(c) < 3:
+        c.append(x[np.min([((x - v) ** 2).sum(axis=1) for v in c], axis=0).argmax()])
+    c = np.array(c)
+    for _ in range(100):
+        lab = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        c = np.array([x[lab == j].mean(axis=0) for j in range(3)])
+    assert np.allclose(centers, c) and {r.id: r.cluster for r in labels.collect()} == dict(enumerate(lab.tolist()))
+
+
+def test_factor_predictions_are_joined_with_nothing(spark):
+    rows, r = _ratings(spark)
+    test = r.select("user", "item").union(spark.createDataFrame([(99, 1), (99, 999)], "user long, item long"))
+    got = cf.factorized(r, test)
+    assert "Join" not in _flat(got)
+    pred = {(x.user, x.item): x.pred for x in got.collect()}
+    mean, item, _ = cf.biases(r)
+    gm, bi = mean.head()[0], {x.item: x.bi for x in item.collect()}
+    assert pred[99, 999] == pytest.approx(gm) and pred[99, 1] == pytest.approx(gm + bi[1])
+    err = [pred[u, i] - s for u, i, s in rows.itertuples(index=False)]
+    assert len(pred) == len(rows) + 2 and np.sqrt(np.mean(np.square(err))) < rows["stars"].std()
