@@ -220,16 +220,48 @@ def biases(r: DataFrame, item_reg: float = 10.0, user_reg: float = 15.0) -> tupl
 def factorized(r: DataFrame, test: DataFrame, rank: int = 10, rounds: int = 10, reg: float = 0.1) -> DataFrame:
     """(user, item, pred): biased factors, mean + item's bias + user's bias + p * q. The factors come from alternating
     least squares on what the biases leave, not from stochastic gradient steps, so they are not numerically those of
-    such a model. Unknown users or items have no part of their own."""
+    such a model. Unknown users or items have no part of their own. Biases and factors are looked up in mapped lists, so
+    ratings and predictions are joined with nothing."""
     from pyspark.ml.recommendation import ALS
 
+    r = once(r)
     mean, item, user = biases(r)
-    rest = r.join(item, "item").join(user, "user").crossJoin(F.broadcast(mean)).select(F.col("user").cast("int"), F.col("item").cast("int"), (F.col("stars") - F.col("gm") - F.col("bi") - F.col("bu")).alias("rest"))
+    gm = mean.head()[0]
+    if gm is None:
+        return test.select(F.col("user").cast("int"), F.col("item").cast("int"), F.lit(None).cast("double").alias("pred")).distinct()
+    zero = F.lit(0).alias("_key")
+    held = [once(side.select(F.col(c).cast("long").alias(c), zero, F.col(b).alias("bias"))) for side, c, b in ((user, "user", "bu"), (item, "item", "bi"))]
+    bias = [lists(h, c, "_key", "bias") for h, c in zip(held, ("user", "item"))]
+
+    def looked_up(of, ids, n):
+        """n columns of each id, 0 where it is unknown."""
+        part, start, size = of.find(ids)
+        out = np.zeros((len(ids), n))
+        out[size > 0] = np.stack(of.gather(part, start, size, n + 1)[1:], axis=1)
+        return out
+
+    def left(batches):
+        for b in batches:
+            u, i, stars = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            yield from sent({"user": u.astype(np.int32), "item": i.astype(np.int32), "rest": (stars - gm - looked_up(bias[1], i, 1)[:, 0] - looked_up(bias[0], u, 1)[:, 0]).astype(np.float32)})
+
+    ids = [F.col(c).cast("int").cast("long").alias(c) for c in ("user", "item")]
+    rest = once(r.select(*ids, "stars").dropna().mapInArrow(left, "user int, item int, rest float"))
     als = ALS(userCol="user", itemCol="item", ratingCol="rest", rank=rank, maxIter=rounds, regParam=reg, seed=7, coldStartStrategy="nan")
-    got = als.fit(rest).transform(test.select(F.col("user").cast("int"), F.col("item").cast("int")).distinct())
-    got = got.join(item.withColumn("item", F.col("item").cast("int")), "item", "left").join(user.withColumn("user", F.col("user").cast("int")), "user", "left").crossJoin(F.broadcast(mean))
-    part = F.when(F.isnan("prediction"), 0.0).otherwise(F.col("prediction").cast("double"))
-    return got.select("user", "item", (F.col("gm") + F.coalesce("bi", F.lit(0.0)) + F.coalesce("bu", F.lit(0.0)) + part).alias("pred"))
+    fitted = als.fit(rest)
+    names = [f"f{k}" for k in range(rank)]
+    factors = []
+    for side, c, got in zip(held, ("user", "item"), (fitted.userFactors, fitted.itemFactors)):
+        rows = side.join(got.select(F.col("id").cast("long").alias(c), *(F.col("features")[k].cast("double").alias(f) for k, f in enumerate(names))), c, "left")
+        factors.append(lists(once(rows.select(c, "_key", "bias", *names).na.fill(0.0)), c, "_key", "bias", *names))
+
+    def predict(batches):
+        for b in batches:
+            u, i = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            p, q = (looked_up(of, x, rank + 1) for of, x in zip(factors, (u, i)))
+            yield from sent({"user": u.astype(np.int32), "item": i.astype(np.int32), "pred": gm + p[:, 0] + q[:, 0] + (p[:, 1:] * q[:, 1:]).sum(axis=1)})
+
+    return test.select(*ids).dropna().distinct().mapInArrow(predict, "user int, item int, pred double")
 
 
 def hybrid(test: DataFrame, r: DataFrame, m: DataFrame | Like, other: DataFrame, least: int = 3, top: float = 5.0) -> DataFrame:
