@@ -204,7 +204,7 @@ VISITS = "visits AS (SELECT DISTINCT user_id, 'src' || (event_id % 20) AS source
 
 @query(f"WITH {PROFILE}, {VISITS} SELECT DISTINCT user_id, term FROM visits JOIN profile USING (source)")
 def user_profile(s, d):
-    return content.user_profiles(_visits(s, d), _profile(s, d), "user_id", "source")
+    return content.user_profiles(_visits(s, d), cut(_profile(s, d)), "user_id", "source")
 
 
 @query(f"""WITH {PROFILE}, {VISITS}, u AS (SELECT DISTINCT user_id, term FROM visits JOIN profile USING (source)),
@@ -212,9 +212,7 @@ nu AS (SELECT user_id, count(*) AS nu FROM u GROUP BY 1), ni AS (SELECT source,
 c AS (SELECT user_id, source, count(*) AS c FROM visits JOIN profile USING (source) JOIN u USING (user_id, term) GROUP BY 1, 2)
 SELECT user_id, source, round(c / (sqrt(nu) * sqrt(ni)), 6) AS sim FROM c JOIN nu USING (user_id) JOIN ni USING (source) WHERE c / (sqrt(nu) * sqrt(ni)) >= 0.01""")
 def content_score(s, d):
-    items = cut(_profile(s, d))
-    pairs = _visits(s, d)
-    return content.scores(pairs, content.user_profiles(pairs, items, "user_id", "source"), items, "user_id", "source").withColumn("sim", F.round("sim", 6))
+    return content.own_scores(_visits(s, d), cut(_profile(s, d)), "user_id", "source").withColumn("sim", F.round("sim", 6))
 
 
 # collaborative filtering
@@ -326,7 +324,7 @@ def coverage(s, d):
 
 @query()
 def svd_predict(s, d):
-    return cf.factorized(_ratings(s, d), _test(s, d))
+    return cf.factorized(cut(_ratings(s, d)), _test(s, d))
 
 
 # graphs: all pairs of suppliers that share an order
