@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import cf, cluster, content, graph, itemsets, similarity
 from lodestone.plans import lists
@@ -177,3 +178,29 @@ def test_itemset_levels_join_no_baskets(spark, monkeypatch):
     assert len(joined) == 1  # items with their numbers, at no later level
     assert {(tuple(r["items"]), r["support"]) for r in got.collect()} == {(c, n) for c, n in count.items() if n >= 8}
     assert max(r["size"] for r in got.collect()) > 2
+
+
+def test_predictions_equal_those_of_a_given_model(spark):
+    """What is alike, found on the way, against models that are joined as tables."""
+    rows, r = _ratings(spark)
+    test = r.select("user", "item").union(spark.createDataFrame([(1, 999), (99, 1), (2, 3)], "user long, item long")).distinct()
+    users = _plain(rows, "user", "item", 2)
+    made = cf.model(r, "user", "item", 2)
+    assert "Join" not in _flat(made)
+    assert {(x.a, x.b): x.sim for x in made.collect()} == pytest.approx({p: s for p, s in users.items() if p[0] < p[1]}, abs=2e-6)
+    flat = lambda df: {(x.user, x.item): x.pred for x in df.collect()}
+    assert flat(cf.predict_users(test, r, cf.Like("user", "item", 2))) == pytest.approx(flat(cf.predict_users(test, r, made)))
+    strong, mean = cf.model(r, "user", "item", 2, keep=cf.strong), test.withColumn("pred", F.lit(3.3))
+    assert flat(cf.hybrid(test, r, cf.Like("user", "item", 2, keep=cf.strong), mean)) == pytest.approx(flat(cf.hybrid(test, r, strong, mean)))
+    got = cf.coverage(cf.predictable(test, r, cf.Like("item", "user", 3)), r).head()
+    assert got == cf.coverage(cf.predictable(test, r, cf.model(r, "item", "user", 3)), r).head() and got.matched > 0
+
+
+def test_shared_elements_are_counted_without_a_join(spark):
+    rows, r = _ratings(spark, ids=lambda k: f"id{k:03d}")
+    want = _count_pairs(rows, "item", "user")
+    got = graph.co_occurrence(r.withColumn("user", F.col("user")), "item", "user")
+    assert {(x.a, x.b): x.common for x in got.collect()} == {p: c for p, (c, _, _) in want.items()}
+    numbers = similarity.exact(r.select(F.substring("item", 3, 3).cast("int").alias("item"), F.substring("user", 3, 3).cast("int").alias("user")), "item", "user", 0.2)
+    assert "Join" not in _flat(numbers)
+    assert {(f"id{x.a:03d}", f"id{x.b:03d}"): x.sim for x in numbers.collect()} == {p: c / (na + nb - c) for p, (c, na, nb) in want.items() if c / (na + nb - c) >= 0.2}
